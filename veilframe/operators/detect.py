@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import checks, fixed_values as fv, regex
 from ..functions.arrays import let, running
+from ..functions.settle import settled
 from ..functions.types import SPAN, parse_types
 from .resolve import resolve
 
@@ -179,7 +180,7 @@ def detect(
     """
     spans = rule_spans(text, threshold, types)
     spans = spans if outside is None else F.concat(spans, outside)
-    return documents.withColumn("entities", resolve(spans, boosted=outside is not None))
+    return settled(documents, entities=resolve(spans, boosted=outside is not None))
 
 
 def explode_spans(documents: DataFrame, *keep: str, spans: str = "entities") -> DataFrame:

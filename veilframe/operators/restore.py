@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import fixed_values as fv
 from ..functions.arrays import let
 from ..functions.lookup import look_up
+from ..functions.settle import settled
 from ..functions.text import tokens_in
 from .joins import join_hot_keys
 
@@ -66,7 +67,7 @@ def restore(
     texts: DataFrame, text: str = "anonymized_text", entries: str = "entity_map"
 ) -> DataFrame:
     """Add ``rehydrated_text`` from the map that each row carries."""
-    return texts.withColumn("rehydrated_text", restored(F.col(text), F.col(entries)))
+    return settled(texts, rehydrated_text=restored(F.col(text), F.col(entries)))
 
 
 def entity_maps(mapping: DataFrame, scope: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let, pieces, running
+from ..functions.settle import settled
 from ..functions.types import ENTRY
 
 _OCCURRENCE = "struct<group:int,first:boolean,last_start:int,place:int,type:string,value:string>"
@@ -172,13 +173,13 @@ def splice(text: Column, entities: Column, replacements: Column) -> Column:
 
 def anonymise(documents: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
     """Add ``anonymized_text`` and ``entity_map`` (array of token and value)."""
-    numbered = documents.withColumn("_numbered", numbering(F.col(entities)))
+    numbered = settled(documents, _numbered=numbering(F.col(entities)))
     tokens = F.col("_numbered.tokens")
-    return numbered.select(
-        *documents.columns,
-        splice(F.col(text), F.col(entities), tokens).alias("anonymized_text"),
-        F.col("_numbered.entries").alias("entity_map"),
-    )
+    return settled(
+        numbered,
+        anonymized_text=splice(F.col(text), F.col(entities), tokens),
+        entity_map=F.col("_numbered.entries"),
+    ).drop("_numbered")
 
 
 def highlight(documents: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
@@ -191,7 +192,7 @@ def highlight(documents: DataFrame, text: str = "text", entities: str = "entitie
         )
 
     marked = splice(F.col(text), F.col(entities), F.transform(F.col(entities), shown))
-    return documents.withColumn("highlighted_text", marked)
+    return settled(documents, highlighted_text=marked)
 
 
 def redact(documents: DataFrame, anonymized: str = "anonymized_text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let
 from ..functions.lookup import look_up
+from ..functions.settle import settled
 
 
 def leaked_values(anonymized: Column, entries: Column) -> Column:
@@ -73,13 +74,13 @@ def restored_result(restored: Column, entries: Column) -> Column:
 def check_anonymised(
     documents: DataFrame, text: str = "anonymized_text", entries: str = "entity_map"
 ) -> DataFrame:
-    return documents.withColumn("validation", anonymised_result(F.col(text), F.col(entries)))
+    return settled(documents, validation=anonymised_result(F.col(text), F.col(entries)))
 
 
 def check_restored(
     documents: DataFrame, text: str = "rehydrated_text", entries: str = "entity_map"
 ) -> DataFrame:
-    return documents.withColumn("validation", restored_result(F.col(text), F.col(entries)))
+    return settled(documents, validation=restored_result(F.col(text), F.col(entries)))
 
 
 def gate(documents: DataFrame, stop_on_error: bool = True) -> tuple[DataFrame, DataFrame]:
