@@ -67,14 +67,16 @@ def explode_chunks(documents: DataFrame, *keep: str) -> DataFrame:
 
 
 def prompts(text: Column, parts: Column, template: str = fv.DEFAULT_PROMPT) -> Column:
-    """A single chunk gives one prompt for the whole text, several give numbered parts."""
+    """A single chunk gives one prompt for the whole text, several give numbered parts; a null
+    text gives null."""
 
     def numbered(chunk_: Column, i: Column) -> Column:
         head = F.format_string(fv.PART_FORMAT, i + 1, F.size(parts))
         return F.concat(head, tx.apply_template(template, chunk_))
 
     whole = F.array(tx.apply_template(template, text))
-    return F.when(F.size(parts) == 1, whole).otherwise(F.transform(parts, numbered))
+    several = F.when(F.size(parts) == 1, whole).otherwise(F.transform(parts, numbered))
+    return F.when(text.isNotNull(), several)
 
 
 def demo_response(prompt: Column) -> Column:
@@ -100,7 +102,7 @@ def respond(
         @F.pandas_udf(T.ArrayType(T.StringType()))
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield batch.map(lambda p: list(responder(list(p))))
+                yield batch.map(lambda p: None if p is None else list(responder(list(p))))
 
         answers = ask(F.col("prompts"))
     return settled(documents, llm_response_anonymized=F.array_join(answers, "\n\n"))
