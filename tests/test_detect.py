@@ -63,8 +63,8 @@ ODD = [
 
 def spark_spans(spark, texts, **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
-    found = rows.select("doc_id", d.rule_spans("text", **options).alias("s")).collect()
-    return {r.doc_id: [tuple(s) for s in r.s] for r in found}
+    found = d.with_rule_spans(rows, **options).collect()
+    return {r.doc_id: [tuple(s) for s in r.spans] for r in found}
 
 
 def same_as_plain(spark, texts, **options):

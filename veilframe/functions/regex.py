@@ -11,7 +11,6 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-import sys
 
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
@@ -147,8 +146,8 @@ def with_grouped_words(pattern: str) -> str:
 
 @functools.cache
 def _cased() -> list[str]:
-    """All characters that have a case."""
-    return [c for c in map(chr, range(sys.maxunicode + 1)) if c.lower() != c or c.upper() != c]
+    """All characters that may equal a Latin letter when case is ignored."""
+    return [c for c in map(chr, range(0x2200)) if c.lower() != c or c.upper() != c]
 
 
 @functools.cache

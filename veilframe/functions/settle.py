@@ -13,6 +13,6 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     once per use.  The output of a generator cannot be taken apart like that, so the columns
     leave an outer ``inline`` over one struct; it adds no row and no shuffle.
     """
-    kept = [c for c in rows.columns if c not in columns]
     struct = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return rows.select(*[F.col(f"`{c}`") for c in kept], F.inline_outer(F.array(struct)))
+    kept = [f"`{c}`" for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline_outer(F.array(struct)))

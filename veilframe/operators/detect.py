@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import checks, fixed_values as fv, regex
 from ..functions.arrays import let, running
+from ..functions.cached import built_once
 from ..functions.settle import settled
 from ..functions.types import SPAN, parse_types
 from .resolve import resolve
@@ -141,19 +142,12 @@ def _spans_of(hit: Column) -> Column:
     return let(F.split(hit.getField("marked"), f"[{OPEN}{CLOSE}]", -1), cut)
 
 
-def rule_spans(
-    text: str = "text",
-    threshold: float = fv.DEFAULT_THRESHOLD,
-    types: Iterable[str] | str | None = None,
-) -> Column:
-    """All matches of the rules in force in a text column, in rule order, overlaps included."""
-    nothing = F.array().cast(f"array<{SPAN}>")
-    chosen = rules(threshold, parse_types(types))
-    if not chosen:
-        return nothing
+@built_once
+def _spans_in(hits: str, text: str) -> Column:
+    """The spans of all marked copies that pass the checksum of their type."""
     source = F.col(text)
     found = F.filter(
-        F.flatten(F.transform(_hits(text, chosen), _spans_of)),
+        F.flatten(F.transform(hits, _spans_of)),
         lambda s: checks.passes_check(s.getField("type"), s.getField("value")),
     )
 
@@ -164,7 +158,22 @@ def rule_spans(
     # Where the text held a mark of its own, the copies hold its stand-in.
     marked_before = source.contains(OPEN) | source.contains(CLOSE)
     spans = F.when(marked_before, F.transform(found, with_true_value)).otherwise(found)
-    return F.when(source.isNotNull(), spans).otherwise(nothing)
+    nothing = F.array().cast(f"array<{SPAN}>")
+    return F.when(source.isNotNull(), F.when(F.size(hits) > 0, spans).otherwise(nothing)).otherwise(nothing)
+
+
+def with_rule_spans(
+    documents: DataFrame,
+    text: str = "text",
+    threshold: float = fv.DEFAULT_THRESHOLD,
+    types: Iterable[str] | str | None = None,
+) -> DataFrame:
+    """Add ``spans``: all matches of the rules in force, in rule order, overlaps included."""
+    chosen = rules(threshold, parse_types(types))
+    if not chosen:
+        return documents.withColumn("spans", F.array().cast(f"array<{SPAN}>"))
+    marked = settled(documents, _hits=_hits(text, chosen))
+    return settled(marked, spans=_spans_in("_hits", text)).drop("_hits")
 
 
 def detect(
@@ -178,9 +187,10 @@ def detect(
 
     ``outside`` is an array of spans from other recognisers (see ``operators.outside``).
     """
-    spans = rule_spans(text, threshold, types)
-    spans = spans if outside is None else F.concat(spans, outside)
-    return settled(documents, entities=resolve(spans, boosted=outside is not None))
+    found = with_rule_spans(documents, text, threshold, types)
+    if outside is not None:
+        found = settled(found, spans=F.concat("spans", outside))
+    return settled(found, entities=resolve("spans", outside is not None)).drop("spans")
 
 
 def explode_spans(documents: DataFrame, *keep: str, spans: str = "entities") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let
 from ..functions.regex import SPACE
 from ..functions.types import HIT, SPAN
+from ..functions.cached import built_once, column
 from ..functions.settle import settled
 from .joins import join_hot_keys
 
@@ -117,16 +118,18 @@ def _cleaned(text: Column, span: Column) -> Column:
     )
 
 
+@built_once
 def spans_of_hits(
-    text: Column,
-    hits: Column,
+    text: str | Column,
+    hits: str | Column,
     threshold: float = fv.DEFAULT_THRESHOLD,
-    types: Iterable[str] | None = None,
+    types: tuple[str, ...] | None = None,
 ) -> Column:
     """Recogniser hits of one document as cleaned spans, engine by engine.
 
     Unlike the rules' filter, an empty list of types lets nothing through.
     """
+    text, hits = column(text), column(hits)
 
     def span(h: Column, i: Column) -> Column:
         default = F.element_at(
@@ -212,6 +215,6 @@ def detect_with_hits(
     """Rules and recogniser hits together: union, boost where they agree, resolve overlaps."""
     from .detect import detect
 
-    chosen = list(types) if types is not None else None
-    outside = spans_of_hits(F.col(text), F.col("hits"), threshold, chosen)
+    chosen = tuple(types) if types is not None else None
+    outside = spans_of_hits(text, "hits", threshold, chosen)
     return detect(documents, text, threshold, chosen, outside)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.arrays import let, running
+from ..functions.cached import built_once, column
 from ..functions.types import SPAN
 
 
@@ -98,7 +99,8 @@ def without_overlaps(spans: Column) -> Column:
     )
 
 
-def resolve(spans: Column, boosted: bool = True) -> Column:
+@built_once
+def resolve(spans: str | Column, boosted: bool = True) -> Column:
     """Boost, then resolve; texts without spans skip both."""
 
     def whole(values: Column) -> Column:
@@ -106,4 +108,4 @@ def resolve(spans: Column, boosted: bool = True) -> Column:
             F.size(values) > 0, without_overlaps(boost(values) if boosted else values)
         ).otherwise(values)
 
-    return let(spans, whole)
+    return let(column(spans), whole)

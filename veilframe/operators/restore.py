@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import fixed_values as fv
 from ..functions.arrays import let
 from ..functions.lookup import look_up
+from ..functions.cached import built_once, column
 from ..functions.settle import settled
 from ..functions.text import tokens_in
 from .joins import join_hot_keys
@@ -18,11 +19,13 @@ from .joins import join_hot_keys
 _TOKEN = "(?iu)" + fv.TOKEN_PATTERN
 
 
-def restored(text: Column, entries: Column) -> Column:
+@built_once
+def restored(text: str | Column, entries: str | Column) -> Column:
     """Replace every token of the map by its value, case ignored, in one pass.
 
     Values are put in as they are and are not searched for tokens again.
     """
+    text, entries = column(text), column(entries)
 
     def whole(tokens: Column) -> Column:
         def joined(found: Column, between: Column) -> Column:
@@ -67,7 +70,7 @@ def restore(
     texts: DataFrame, text: str = "anonymized_text", entries: str = "entity_map"
 ) -> DataFrame:
     """Add ``rehydrated_text`` from the map that each row carries."""
-    return settled(texts, rehydrated_text=restored(F.col(text), F.col(entries)))
+    return settled(texts, rehydrated_text=restored(text, entries))
 
 
 def entity_maps(mapping: DataFrame, scope: str) -> DataFrame:

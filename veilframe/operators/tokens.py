@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let, pieces, running
+from ..functions.cached import built_once, column
 from ..functions.settle import settled
 from ..functions.types import ENTRY
 
@@ -97,7 +98,8 @@ def _tokens_by_group(firsts: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda n: _field(n, "token"))
 
 
-def numbering(entities: Column) -> Column:
+@built_once
+def numbering(entities: str | Column) -> Column:
     """A struct of ``tokens`` (one per entity, by position) and ``entity_map`` (entries in
     the order of first use, from the right)."""
 
@@ -145,7 +147,7 @@ def numbering(entities: Column) -> Column:
         )
 
     return let(
-        _occurrences(entities),
+        _occurrences(column(entities)),
         lambda occurrences: let(
             _tokens_by_group(F.filter(occurrences, lambda o: _field(o, "first"))),
             lambda tokens: from_groups(occurrences, tokens),
@@ -153,7 +155,8 @@ def numbering(entities: Column) -> Column:
     )
 
 
-def splice(text: Column, entities: Column, replacements: Column) -> Column:
+@built_once
+def splice(text: str, entities: str, replacements: str) -> Column:
     """The text with each entity replaced by the entry at its place."""
 
     def spliced(new: Column) -> Column:
@@ -163,21 +166,20 @@ def splice(text: Column, entities: Column, replacements: Column) -> Column:
             F.array(F.length(text)),
         )
         parts = F.transform(
-            pieces(text, cuts),
+            pieces(F.col(text), cuts),
             lambda p, i: F.when(i % 2 == 1, F.get(new, F.floor(i / 2).cast("int"))).otherwise(p),
         )
         return F.array_join(parts, "")
 
-    return F.when(F.size(entities) > 0, let(replacements, spliced)).otherwise(text)
+    return F.when(F.size(entities) > 0, let(F.col(replacements), spliced)).otherwise(F.col(text))
 
 
 def anonymise(documents: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
     """Add ``anonymized_text`` and ``entity_map`` (array of token and value)."""
-    numbered = settled(documents, _numbered=numbering(F.col(entities)))
-    tokens = F.col("_numbered.tokens")
+    numbered = settled(documents, _numbered=numbering(entities))
     return settled(
         numbered,
-        anonymized_text=splice(F.col(text), F.col(entities), tokens),
+        anonymized_text=splice(text, entities, "_numbered.tokens"),
         entity_map=F.col("_numbered.entries"),
     ).drop("_numbered")
 
@@ -191,8 +193,8 @@ def highlight(documents: DataFrame, text: str = "text", entities: str = "entitie
             F.format_number(_field(e, "confidence"), 2), F.lit("}"),
         )
 
-    marked = splice(F.col(text), F.col(entities), F.transform(F.col(entities), shown))
-    return settled(documents, highlighted_text=marked)
+    listed = settled(documents, _shown=F.transform(entities, shown))
+    return settled(listed, highlighted_text=splice(text, entities, "_shown")).drop("_shown")
 
 
 def redact(documents: DataFrame, anonymized: str = "anonymized_text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let
 from ..functions.lookup import look_up
+from ..functions.cached import built_once, column
 from ..functions.settle import settled
 
 
@@ -48,14 +49,18 @@ def _result(errors: Column) -> Column:
     )
 
 
-def anonymised_result(anonymized: Column, entries: Column) -> Column:
+@built_once
+def anonymised_result(anonymized: str | Column, entries: str | Column) -> Column:
+    anonymized, entries = column(anonymized), column(entries)
     leaks = _messages(leaked_values(anonymized, entries), fv.LEAK_ERROR, 30)
     unknown = _messages(unknown_in(anonymized, entries), fv.UNKNOWN_TOKEN_ERROR)
     return _result(F.concat(leaks, unknown))
 
 
-def restored_result(restored: Column, entries: Column) -> Column:
+@built_once
+def restored_result(restored: str | Column, entries: str | Column) -> Column:
     """One error per token that is left over or made up, in text order."""
+    restored, entries = column(restored), column(entries)
 
     def errors(tokens: Column) -> Column:
         return let(
@@ -74,13 +79,13 @@ def restored_result(restored: Column, entries: Column) -> Column:
 def check_anonymised(
     documents: DataFrame, text: str = "anonymized_text", entries: str = "entity_map"
 ) -> DataFrame:
-    return settled(documents, validation=anonymised_result(F.col(text), F.col(entries)))
+    return settled(documents, validation=anonymised_result(text, entries))
 
 
 def check_restored(
     documents: DataFrame, text: str = "rehydrated_text", entries: str = "entity_map"
 ) -> DataFrame:
-    return settled(documents, validation=restored_result(F.col(text), F.col(entries)))
+    return settled(documents, validation=restored_result(text, entries))
 
 
 def gate(documents: DataFrame, stop_on_error: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -209,7 +209,7 @@ def recogniser_clean_up(spark, folder):
         F.length(first).alias("end"), F.lit(None).cast("double").alias("score"),
     ).cast(HIT)
     hits = turns.withColumn("hits", F.when(first != "", F.array(hit)))
-    spans = hits.select("turn_id", F.inline_outer(outside.spans_of_hits(F.col("text"), F.col("hits"))))
+    spans = hits.select("turn_id", F.inline_outer(outside.spans_of_hits("text", "hits")))
     return spans.where(F.col("start").isNotNull()).select(
         "turn_id", *_long("start", "end"), "value", "type", "confidence"
     )
@@ -284,7 +284,7 @@ def leftover_tokens(spark, folder):
 def leak_check(spark, folder):
     """Values of the map looked for in the anonymised and in the original text."""
     done = _email_docs(spark, folder)
-    leaks = vd.anonymised_result(F.col("text"), F.col("entity_map"))
+    leaks = vd.anonymised_result("text", "entity_map")
     return done.select(
         "doc_id",
         F.col("validation.is_valid").alias("anonymized_ok"),
