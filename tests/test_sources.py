@@ -134,7 +134,7 @@ def test_sessions(spark):
     assert kept.count() == 0 and removed.first().removed == 2
     texts = spark.createDataFrame([("a", ids[1], "[A_002] [a_001]"), ("b", "nope", "[A_001]")],
                                   "id string, session_id string, response string")
-    good, missed = s.restore_with_sessions(texts, made, later(0))
+    good, missed = s.restore_with_sessions(texts, made, later(0), "id")
     assert good.first().rehydrated_text == "Bob Anna" and [r.id for r in missed.collect()] == ["b"]
     left = s.delete(made, spark.createDataFrame([(ids[1],)], "session_id string"))
     assert [r.doc_id for r in left.collect()] == [2]

@@ -136,7 +136,7 @@ def test_table_forms(spark):
         "id int, scope string, response string")
     mapping = spark.createDataFrame([("a", "[PERSON_001]", "Ann"), ("a", "[PERSON_002]", "Bob"),
                                      ("b", "[PERSON_1000]", "Cy")], "scope string, token string, value string")
-    got = {x.id: x.rehydrated_text for x in r.restore_from_table(texts, mapping, "scope").collect()}
+    got = {x.id: x.rehydrated_text for x in r.restore_from_table(texts, mapping, "scope", "id").collect()}
     assert got == {1: "Ann Bob", 2: "[X_001]", 3: "resto: Cy", 4: "-"}
     unknown = v.unknown_tokens(texts, mapping, "scope", text="response").collect()
     assert [x.token for x in unknown] == ["[X_001]"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, text as tx
@@ -37,10 +39,17 @@ def classify_headers(headers: DataFrame, column: str = "column") -> DataFrame:
 
 
 def profile_columns(table: DataFrame, name: str) -> DataFrame:
-    """One row per column of a table: its type by name and how many values it holds.
+    """One row per column of a table: its type by name and how many values it holds."""
+    return profile_tables({name: table})
+
+
+def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """The column profiles of several tables."""
+    return classify_headers(functools.reduce(DataFrame.unionByName, map(_filled, *zip(*tables.items()))))
+
 
-    The counts of all columns come from one pass that is combined before the shuffle.
-    """
+def _filled(name: str, table: DataFrame) -> DataFrame:
+    """How many values each column holds, from one pass that is combined before the shuffle."""
     counts = table.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in table.columns])
     rows = F.array(
         *[
@@ -48,8 +57,7 @@ def profile_columns(table: DataFrame, name: str) -> DataFrame:
             for c in table.columns
         ]
     )
-    listed = counts.select(F.lit(name).alias("table"), F.inline(rows))
-    return classify_headers(listed)
+    return counts.select(F.lit(name).alias("table"), F.inline(rows))
 
 
 def sensitive_columns(columns: Column) -> Column:

@@ -9,7 +9,11 @@ SPREAD = 64
 
 
 def join_hot_keys(
-    rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int = HOT_ROWS, spread: int = SPREAD
+    rows: DataFrame,
+    per_key: DataFrame,
+    *keys: str,
+    hot_rows: int = HOT_ROWS,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """Join ``per_key`` (unique keys) to ``rows``, hot keys spread over many tasks.
 
@@ -17,10 +21,10 @@ def join_hot_keys(
     rows / hot_rows hot keys; only these are copied ``spread`` times on the small side and
     only their rows get a random-like salt, so every other key keeps a single copy.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
-    hot = hot.select(key, F.lit(spread).alias("_spread"))
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
+    hot = hot.select(*keys, F.lit(spread).alias("_spread"))
     place = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_spread", F.lit(1))).cast("int")
-    salted = rows.join(hot, key, "left").withColumn("_salt", place).drop("_spread")
+    salted = rows.join(hot, [*keys], "left").withColumn("_salt", place).drop("_spread")
     copies = F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1)
-    copied = per_key.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_spread")
-    return salted.join(copied, [key, "_salt"], "left").drop("_salt")
+    copied = per_key.join(hot, [*keys], "left").withColumn("_salt", F.explode(copies))
+    return salted.join(copied.drop("_spread"), [*keys, "_salt"], "left").drop("_salt")

@@ -14,6 +14,7 @@ from ..functions.lookup import look_up
 from ..functions.cached import built_once, column
 from ..functions.settle import settled
 from ..functions.text import tokens_in
+from ..functions.types import ENTRY
 from .joins import join_hot_keys
 
 _TOKEN = "(?iu)" + fv.TOKEN_PATTERN
@@ -73,18 +74,34 @@ def restore(
     return settled(texts, rehydrated_text=restored(text, entries))
 
 
-def entity_maps(mapping: DataFrame, scope: str) -> DataFrame:
-    """One map per scope.  A map never holds more than one text's entities."""
-    entries = F.array_sort(F.collect_list(F.struct("token", "value")))
-    return mapping.groupBy(scope).agg(entries.alias("entity_map"))
+def entity_maps(texts: DataFrame, mapping: DataFrame, scope: str, key: str, text: str) -> DataFrame:
+    """For each text, by its key, the part of its scope's mapping that the text refers to.
+
+    Tokens meet the mapping one by one, so the size of a scope's mapping does not matter, and
+    a token that very many texts hold is spread over tasks.  What is put together per text is
+    as many entries as the text has different tokens.
+    """
+    asked = texts.select(
+        F.col(key), F.col(scope),
+        F.explode(F.array_distinct(F.transform(tokens_in(F.col(text)), F.upper))).alias("_token"),
+    )
+    values = mapping.groupBy(scope, F.upper("token").alias("_token")).agg(
+        F.max_by("value", "token").alias("value")
+    )
+    answered = join_hot_keys(asked, values, scope, "_token").where(F.col("value").isNotNull())
+    entry = F.struct(F.col("_token").alias("token"), "value")
+    return answered.groupBy(key).agg(F.collect_list(entry).alias("entity_map"))
 
 
 def restore_from_table(
-    texts: DataFrame, mapping: DataFrame, scope: str, text: str = "response"
+    texts: DataFrame, mapping: DataFrame, scope: str, key: str, text: str = "response"
 ) -> DataFrame:
-    """Join each text with the map of its scope and restore it; texts without a map stay."""
-    joined = join_hot_keys(texts, entity_maps(mapping, scope), scope)
-    nothing = F.array().cast(joined.schema["entity_map"].dataType)
+    """Restore each text (with a unique ``key``) from the mapping of its scope.
+
+    ``entity_map`` holds the entries that were found; texts without any stay as they are.
+    """
+    joined = texts.join(entity_maps(texts, mapping, scope, key, text), key, "left")
+    nothing = F.array().cast(f"array<{ENTRY}>")
     return restore(
         joined.withColumn("entity_map", F.coalesce("entity_map", nothing)), text, "entity_map"
     )

@@ -71,11 +71,11 @@ def delete(sessions: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def restore_with_sessions(
-    texts: DataFrame, sessions: DataFrame, now: Column, text: str = "response"
+    texts: DataFrame, sessions: DataFrame, now: Column, key: str, text: str = "response"
 ) -> tuple[DataFrame, DataFrame]:
     """Restored texts of live sessions, and the texts whose session is unknown or expired."""
     alive = live(sessions, now)
     ids = alive.select("session_id").distinct()
     known = texts.join(ids, "session_id", "left_semi")
     missed = texts.join(ids, "session_id", "left_anti")
-    return restore_from_table(known, alive, "session_id", text), missed
+    return restore_from_table(known, alive, "session_id", key, text), missed

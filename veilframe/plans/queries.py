@@ -38,6 +38,19 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{os.urandom(8).hex()}")
 
 
+def _stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Write rows once and read them back, where several branches need them."""
+    folder = _scratch(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _stored_emails(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Anonymised texts and the mapping, as two tables kept apart."""
+    done = _stored(spark, _email_docs(spark, folder).select("doc_id", "anonymized_text", "entity_map"), "anonymised")
+    return done.select("doc_id", "anonymized_text"), tk.mapping_table(done, "doc_id")
+
+
 # ---- detection ---------------------------------------------------------------------------
 
 
@@ -120,7 +133,7 @@ def checksum_candidates(spark, folder):
     """Card, IBAN, VAT and fiscal-code checks over numbers made from order keys."""
     key = F.col("o_orderkey")
     pad = lambda number, width: F.lpad(number.cast("string"), width, "0")
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         "o_orderkey",
         checks.luhn(F.concat(F.lit("4"), pad(key * 7919, 15))).alias("card_ok"),
         checks.iban(
@@ -175,7 +188,7 @@ def _agreeing_hits(spark, folder) -> DataFrame:
         "start", "end", F.lit(0.8).alias("score"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("place"),
     )
-    return ips.unionByName(mails)
+    return _stored(spark, ips.unionByName(mails), "hits")
 
 
 def source_stats(spark, folder):
@@ -227,14 +240,15 @@ def token_mapping(spark, folder):
 
 
 def sealed_mapping(spark, folder):
-    """The mapping, encrypted and opened again."""
-    sealed = mp.encrypted(token_mapping(spark, folder), "parola segreta")
-    return mp.decrypted(sealed, "parola segreta")
+    """The mapping, saved under a passphrase and opened again."""
+    path = _scratch(spark, "mapping")
+    mp.save_mapping(token_mapping(spark, folder), path, "parola segreta")
+    return mp.load_mapping(spark, path, "parola segreta")
 
 
 def merged_mapping(spark, folder):
     """An older and a newer mapping of the same documents; the newer value stays."""
-    newer = token_mapping(spark, folder)
+    _, newer = _stored_emails(spark, folder)
     older = newer.withColumn("value", F.lit("old")).unionByName(
         newer.select("doc_id", F.lit("[OLD_001]").alias("token"), "value")
     )
@@ -260,23 +274,24 @@ def restore_roundtrip(spark, folder):
 def restore_from_table(spark, folder):
     """Anonymised texts joined with the separate mapping table and restored, tokens in lower
     case as a responder may send them."""
-    done = _email_docs(spark, folder)
+    done, mapping = _stored_emails(spark, folder)
     texts = done.select("doc_id", F.lower("anonymized_text").alias("response"))
-    back = rs.restore_from_table(texts, tk.mapping_table(done, "doc_id"), "doc_id")
+    scoped = texts.withColumn("scope", F.col("doc_id"))
+    back = rs.restore_from_table(scoped, mapping.withColumnRenamed("doc_id", "scope"), "scope", "doc_id")
     return back.select("doc_id", "rehydrated_text")
 
 
 def unknown_tokens(spark, folder):
     """Tokens of the anonymised texts that a mapping without the first tokens does not hold."""
-    done = _email_docs(spark, folder)
-    partial = tk.mapping_table(done, "doc_id").where(~F.col("token").endswith("001]"))
+    done, mapping = _stored_emails(spark, folder)
+    partial = mapping.where(~F.col("token").endswith("001]"))
     return vd.unknown_tokens(done, partial, "doc_id").select("doc_id", *_long("place"), "token")
 
 
 def leftover_tokens(spark, folder):
     """The same texts as if they were final: every token is left over or invented."""
-    done = _email_docs(spark, folder)
-    partial = tk.mapping_table(done, "doc_id").where(~F.col("token").endswith("001]"))
+    done, mapping = _stored_emails(spark, folder)
+    partial = mapping.where(~F.col("token").endswith("001]"))
     left = vd.leftover_tokens(done, partial, "doc_id", text="anonymized_text")
     return left.select("doc_id", *_long("place"), "token", "error")
 
@@ -326,11 +341,7 @@ def processed(spark, folder):
 
 def column_classification(spark, folder):
     """Every column of every table: how many values it holds and what its name announces."""
-    profiles = [columns.profile_columns(table(spark, folder, t), t) for t in TABLES]
-    whole = profiles[0]
-    for profile in profiles[1:]:
-        whole = whole.unionByName(profile)
-    return whole
+    return columns.profile_tables({t: table(spark, folder, t) for t in TABLES})
 
 
 def row_serialize(spark, folder):
