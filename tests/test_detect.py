@@ -1,4 +1,5 @@
 import re
+import time
 import unicodedata
 
 import pytest
@@ -90,6 +91,29 @@ def test_odd_texts_at_all_thresholds(spark):
     same_as_plain(spark, ODD, threshold=0.9, types=["EMAIL", "DATE"])
 
 
+LONG = {
+    "1." * 50000: 12500, "€1" + ".000" * 25000: 1, "1" + ".000" * 25000 + " euro": 8333, "a" * 100000: 0,
+    "nome " * 20000: 0, "Via Roma" + " " * 20000: 0, "importo" + " " * 90000: 0, "x@" + "a." * 45000: 0,
+    "a.b@c.it " * 11000: 11000, "Nome Mario Rossi " * 5800: None,
+}
+
+
+def test_long_hostile_texts_finish_fast(spark):
+    """None of these may take time that grows with the square of the length."""
+    rows = spark.createDataFrame([(i, t[:100000]) for i, t in enumerate(LONG)], "i int, text string").repartition(8)
+    d.detect(rows.limit(1)).collect()
+    start = time.perf_counter()
+    got = {r.i: r.n for r in d.detect(rows).select("i", F.size("entities").alias("n")).collect()}
+    assert time.perf_counter() - start < 60
+    for i, n in enumerate(LONG.values()):
+        assert n is None or got[i] == n
+
+
+def test_threshold_range():
+    with pytest.raises(ValueError):
+        d.rules(1.5, None)
+
+
 def test_whole_testdata(spark):
     texts = [
         r.text for name in ("documents", "conversations")

@@ -36,7 +36,7 @@ TEXT_NEEDED = {
 }
 SEARCH_NEEDED = {
     13: "[€$£]",
-    14: "€|[eE][uU]",
+    14: f"[0-9][{regex.SPACE}]*(?:€|[eE][uU][rR])",
     23: "[0-9]{5}",
     30: r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß'’]++[ \t]++(?:d[a-z']{0,4}[ \t]*|v[ao]n[ \t]+)?[A-ZÀ-ÖØ-Þ]",
     43: r"[0-9]\.[0-9]",
@@ -49,6 +49,8 @@ ODD_LETTERS, THEIR_TWINS = "\u017f\u0131\u0130", "sii"
 
 def rules(threshold: float, types: list[str] | None) -> list[tuple[int, str, float, str]]:
     """The patterns in force as (order, type, confidence, pattern)."""
+    if not 0.0 <= threshold <= 1.0:
+        raise ValueError(f"threshold must be between 0 and 1, not {threshold}")
     return [
         (i, type_, confidence, pattern)
         for i, (type_, confidence, pattern) in enumerate(fv.PATTERNS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as tx
+from ..functions import fixed_values as fv, text as tx
 
 
 def type_counts(spans: DataFrame) -> DataFrame:
@@ -118,3 +118,9 @@ def size_guard(documents: DataFrame, text: str = "text") -> DataFrame:
         ~tx.within_limits(F.col(text)), "too long"
     )
     return documents.withColumn("refused", reason)
+
+
+def mapping_guard(mapping: DataFrame, *scope: str) -> DataFrame:
+    """Scopes whose mapping has more entries than a client may send, with their number."""
+    counted = mapping.groupBy(*scope).agg(F.count("*").alias("entries"))
+    return counted.where(F.col("entries") > fv.MAX_MAPPING_ENTRIES)
