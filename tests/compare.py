@@ -1,6 +1,5 @@
 """Compare registered queries with their SQL, value by value."""
 
-import math
 import os
 
 import duckdb
@@ -16,15 +15,9 @@ def database(folder):
     return db
 
 
-def plain(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
-    return value
-
-
 def sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+    return sorted(columns), sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
 def difference(spark, folder, name, query, sql):

@@ -56,7 +56,9 @@ def _stored_emails(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 
 def entity_stats(spark, folder):
     """All types over all documents: number, share and confidence per type."""
-    return report.type_stats(explode_spans(detect(documents(spark, folder)), "doc_id"))
+    stats = report.type_stats(explode_spans(detect(documents(spark, folder)), "doc_id"))
+    shown = [tx.rounded(F.col(c), 6).alias(c) for c in ("avg_confidence", "percent")]
+    return stats.select("type", "n", "min_confidence", "max_confidence", *shown)
 
 
 def email_by_lang(spark, folder):

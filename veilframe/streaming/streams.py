@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,11 +37,6 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def checkpoint_root(spark: SparkSession, default: str) -> str:
-    """The cluster's shared checkpoint folder; ``default`` only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", default)
-
-
 def admit_stream(
     requests: DataFrame,
     key: str = "key",
