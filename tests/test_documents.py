@@ -3,8 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 import plain
-from veilframe.functions import fixed_values as fv, text as tx
-from veilframe.functions.types import ENTRY, HIT, SPAN
+from veilframe.functions import text as tx
+from veilframe.functions.types import HIT, SPAN
 from veilframe.operators import chunk as c, columns as col, outside as o, report as rep
 
 
@@ -122,6 +122,10 @@ def test_reports(spark):
     stats = {r.type: r for r in rep.type_stats(spans).collect()}
     assert stats["EMAIL"].n == 2 and abs(stats["EMAIL"].percent - 200 / 3) < 1e-9
     assert abs(stats["EMAIL"].avg_confidence - 0.8) < 1e-9
+    assert {r.type: r.n for r in rep.type_counts(spans).collect()} == {"EMAIL": 2, "IP": 1}
+    big = spark.range(20001).select(F.lit("s").alias("scope"), F.col("id").cast("string").alias("token"))
+    assert rep.mapping_guard(big, "scope").first().entries == 20001
+    assert rep.mapping_guard(big.limit(20000), "scope").count() == 0
     assert {r.source: r.n for r in rep.source_stats(spans).collect()} == {"rule": 2, "spacy": 1}
     assert len(rep.dry_run(spans, "doc_id").where("type = 'EMAIL'").collect()[1].shown) == 60
     docs = spark.createDataFrame(

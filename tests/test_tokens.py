@@ -1,6 +1,5 @@
 import random
 
-from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import plain

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed_values as fv, text as tx
-from ..functions.arrays import let
 from ..functions.settle import settled
 
 _TOKEN = re.compile(fv.CHUNK_TOKEN_PATTERN)

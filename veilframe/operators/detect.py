@@ -32,10 +32,13 @@ DIGITS_NEEDED = {
     37: 3, 38: 3, 39: 1, 41: 1, 42: 6,
 }
 TEXT_NEEDED = {
-    0: "@", 6: "+", 7: "+", 22: "/", 43: ".", 44: ":", 45: "::", 47: "://", 48: "www.", 49: "@",
+    0: ["@"], 4: ["+39", "0039"], 6: ["+"], 7: ["+"], 9: ["19", "20"], 10: ["19", "20"],
+    11: ["19", "20"], 12: ["19", "20"], 13: ["€", "$", "£"], 14: ["€", "eur"], 22: ["/"],
+    27: ["stra", "str.", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer"],
+    43: ["."], 44: [":"], 45: ["::"], 47: ["://"], 48: ["www."], 49: ["@"], 53: ["med"],
+    55: ["ins"],
 }
 SEARCH_NEEDED = {
-    13: "[€$£]",
     14: f"[0-9][{regex.SPACE}]*(?:€|[eE][uU][rR])",
     23: "[0-9]{5}",
     30: r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß'’]++[ \t]++(?:d[a-z']{0,4}[ \t]*|v[ao]n[ \t]+)?[A-ZÀ-ÖØ-Þ]",
@@ -62,6 +65,10 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _any_of(pieces: list[str]) -> str:
+    return "(" + " or ".join(f"contains(q.low, {_quoted(p)})" for p in pieces) + ")"
+
+
 def _marked(ord_: int, type_: str, confidence: float, pattern: str) -> str:
     """SQL for one pattern over text t, lower-case text q.low and q.digits.
 
@@ -72,12 +79,12 @@ def _marked(ord_: int, type_: str, confidence: float, pattern: str) -> str:
     if digits:
         tests.append(f"q.digits >= {digits}")
     if ord_ in TEXT_NEEDED:
-        tests.append(f"contains(q.low, {_quoted(TEXT_NEEDED[ord_])})")
+        tests.append(_any_of(TEXT_NEEDED[ord_]))
     if ord_ in SEARCH_NEEDED:
         tests.append(f"t rlike {_quoted(SEARCH_NEEDED[ord_])}")
     stems = regex.label_stems(pattern)
     if stems:
-        tests.append("(" + " or ".join(f"contains(q.low, {_quoted(s)})" for s in stems) + ")")
+        tests.append(_any_of(stems))
     find, replacement = regex.marking(pattern, OPEN, CLOSE)
     tests.append(f"t rlike {_quoted(find)}")
     return (

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import checks, fixed_values as fv, text as tx
+from ..functions import checks, text as tx
 from ..functions.types import HIT
 from ..operators import admission, chunk, columns, outside, report, restore as rs, sessions
 from ..operators import tokens as tk, validate as vd
@@ -47,7 +47,8 @@ def _stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 
 def _stored_emails(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Anonymised texts and the mapping, as two tables kept apart."""
-    done = _stored(spark, _email_docs(spark, folder).select("doc_id", "anonymized_text", "entity_map"), "anonymised")
+    texts = _email_docs(spark, folder).select("doc_id", "anonymized_text", "entity_map")
+    done = _stored(spark, texts, "anonymised")
     return done.select("doc_id", "anonymized_text"), tk.mapping_table(done, "doc_id")
 
 
