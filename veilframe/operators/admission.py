@@ -86,7 +86,7 @@ def admit(
 ) -> DataFrame:
     """Add ``admitted`` and ``retry_after`` (seconds, 0 if admitted) to every request.
 
-    ``order`` breaks ties of time.  A stretch of overload of one key is decided in one task,
+    ``order`` breaks ties of time; requests without a key are not limited.  A stretch of overload of one key is decided in one task,
     from a sorted stream, with the last admitted times as its only state.
     """
     if max_requests <= 0 or window_seconds <= 0:
