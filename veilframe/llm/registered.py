@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, substring_dedup
+from . import exact_dedup, substring_dedup, topk, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
+    "op9_top_k": topk.query,
     "op3_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op1_warc": warc.SQL,
+    "op9_top_k": topk.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
