@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, substring_dedup, topk, warc
+from . import exact_dedup, jaccard_join, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op9_top_k": topk.query,
     "op3_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
@@ -11,6 +12,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op9_top_k": topk.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
