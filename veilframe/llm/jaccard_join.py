@@ -122,12 +122,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
                 for t, c in subset_sizes(n, boundary, p):
                     salt = np.uint64((min(n, t) * 1_000_003 + max(n, t)) & 0xFFFFFFFF)
                     side = 0 if n == t else 1 if n < t else 2
-                    for out in itertools.combinations(range(n), n - c):
-                        left = mixed.sum(dtype=np.uint64) - (mixed[list(out)].sum(dtype=np.uint64) if out else np.uint64(0))
-                        subsets.append({"key": int(hs.mixed(np.array([left]) ^ hs.mixed(np.array([salt])))[0].view(np.int64)), "side": side})
-            with np.errstate(over="ignore"):
-                d1 = int(mixed.sum(dtype=np.uint64).view(np.int64)) if n else 0
-                d2 = int(hs.mixed(mixed ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) if n else 0
+                    left = np.array(list(itertools.combinations(range(n), n - c)), np.int64).reshape(-1, n - c)
+                    sums = mixed.sum(dtype=np.uint64) - mixed[left].sum(axis=1, dtype=np.uint64)
+                    keys = hs.mixed(sums ^ hs.mixed(np.array([salt])))
+                    subsets += [{"key": key, "side": side} for key in keys.view(np.int64).tolist()]
+            d1 = int(mixed.sum(dtype=np.uint64).view(np.int64))
+            d2 = int(hs.mixed(mixed ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
             rows.append((ids[d], n, d1, d2, prefix, subsets))
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
         names = ["doc_id", "n", "d1", "d2", "prefix", "subsets"]

@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import exact_dedup, jaccard_join, substring_dedup, topk, toxicity, warc
+from . import exact_dedup, jaccard_join, licences, mixing, pieces, quality, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_toxicity": toxicity.query,
     "op9_top_k": topk.query,
+    "op2_quality": quality.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_licences": licences.query,
+    "op5_pieces": pieces.query,
+    "op6_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
