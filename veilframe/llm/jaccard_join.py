@@ -122,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
                 for t, c in subset_sizes(n, boundary, p):
                     salt = np.uint64((min(n, t) * 1_000_003 + max(n, t)) & 0xFFFFFFFF)
                     side = 0 if n == t else 1 if n < t else 2
-                    left = np.array(list(itertools.combinations(range(n), n - c)), np.int64).reshape(-1, n - c)
+                    left = np.array(list(itertools.combinations(range(n), n - c)), np.int64).reshape(math.comb(n, c), n - c)
                     sums = mixed.sum(dtype=np.uint64) - mixed[left].sum(axis=1, dtype=np.uint64)
                     keys = hs.mixed(sums ^ hs.mixed(np.array([salt])))
                     subsets += [{"key": key, "side": side} for key in keys.view(np.int64).tolist()]
