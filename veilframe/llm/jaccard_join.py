@@ -14,8 +14,8 @@ from the numbers of sets by size (up to 64) and the subsets and list entries the
 Equal sets become one before anything is joined.  In a list, every member is first compared with its
 most central one (the one whose other elements are listed most); lists whose members are then in one
 component are finished, so a large group of near copies costs one comparison for each.  For the others all
-pairs of members in different components that can reach the overlap by size and place are compared;
-lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.  Comparisons
+pairs of members in different components are compared that can reach the overlap by size, by place in the
+lists and by the difference of their parity bitmaps; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.  Comparisons
 are on whole sets of 64-bit shingle hashes.
 
 Cases: fewer words than k are one shingle, the whole sequence; null, empty or blank text has no
@@ -41,7 +41,9 @@ from .components import components
 CELLS, PART = 1 << 20, 1 << 11
 SMALL = 64
 LIST_COST = 4.0  # of one entry of an inverted list, in subsets
-SETS = "doc_id long, n long, d1 long, d2 long, prefix array<long>, subsets array<struct<key:long,side:int>>"
+BITS = [f"b{i}" for i in range(4)]
+ID_BITS = 1 << 24
+SETS = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>, subsets array<struct<key:long,side:int>>"
 
 
 def overlap(s: int, t: int, p: int) -> int:
@@ -97,13 +99,14 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             if len(found) <= SMALL:
                 sizes[len(found)] += 1
     if cells.any() or sizes.any():
-        rows = [(-1, sizes.tobytes())] + [(i // PART, cells[i : i + PART].tobytes()) for i in range(0, CELLS, PART)]
+        rows = [(-1, hs.small(sizes))] + [(i // PART, hs.small(cells[i : i + PART])) for i in range(0, CELLS, PART)]
         yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _add(part: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in part.column("body"))
-    return pa.table({"part": part.column("part")[:1], "body": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+    total = sum(hs.unpacked(x.as_py()) for x in part.column("body"))
+    counts = np.diff(total, prepend=np.uint64(0)).astype(np.int64) - part.num_rows
+    return pa.table({"part": part.column("part")[:1], "body": pa.array([counts.tobytes()], pa.binary())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cells) -> Iterator[pa.RecordBatch]:
@@ -128,38 +131,62 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
                     subsets += [{"key": key, "side": side} for key in keys.view(np.int64).tolist()]
             d1 = int(mixed.sum(dtype=np.uint64).view(np.int64))
             d2 = int(hs.mixed(mixed ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
-            rows.append((ids[d], n, d1, d2, prefix, subsets))
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
-        names = ["doc_id", "n", "d1", "d2", "prefix", "subsets"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
+            odd = np.bincount(((mixed >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+            rows.append((ids[d], n, d1, d2, *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), prefix, subsets))
+        kinds = [pa.int64()] * (4 + len(BITS)) + [pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
+        names = ["doc_id", "n", "d1", "d2", *BITS, "prefix", "subsets"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
 
-def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _full(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the documents whose place is marked."""
+    wanted = wanted.value
     for batch in batches:
-        sets = [found.view(np.int64) for _, found in _doc_sets(batch, k)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        place = batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
+        some = pa.Table.from_batches([batch]).filter(pa.array((wanted[place >> 3] >> (place & 7) & 1).astype(bool))).combine_chunks()
+        if some.num_rows:
+            sets = [found.view(np.int64) for _, found in _doc_sets(some, k)]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
 
 def _call(work, how, part):
     return work(part, **how)
 
 
-def _reach(s: Column, t: Column, p: int) -> Column:
-    """Overlap that similar sets of these sizes have at least."""
-    return F.ceil(p * (s + t) / F.lit(100.0 + p) - F.lit(1e-9))
-
-
-def _compatible(s: Column, t: Column, p: int) -> Column:
-    return (100 * F.least(s, t)) >= (p * F.greatest(s, t))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+def _may_be_similar(p: int) -> Column:
+    """Whether sets of sizes an and bn that meet at places ap and bp of their lists can reach the
+    overlap: by size, by what is left after the places, and by their bitmaps.  A bit holds the parity of
+    the elements that fall on it, so the sets differ by as many elements as bits differ at least."""
+    s, t = F.col("an"), F.col("bn")
+    needed = F.ceil(p * (s + t) / F.lit(100.0 + p) - F.lit(1e-9))
+    most = F.least("ap", "bp") + F.least(s - F.col("ap"), t - F.col("bp"))
+    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    return (100 * F.least(s, t) >= p * F.greatest(s, t)) & (most >= needed) & (differ <= s + t - 2 * needed)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, p: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar.
+
+    Which documents are in a pair goes to the tasks as a bitmap of hashed ids, of fixed size; it lets all
+    of them through and few others, so that texts of other documents are neither hashed nor shuffled.
+    """
+    pairs = stored(pairs.distinct(), "pairs")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(place("a").alias("place"))
+    marks = ids.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
+    wanted = np.zeros(ID_BITS // 8, np.uint8)
+    for r in marks:
+        # Bucket i holds the places from 32768 (i - 1) + 1 to 32768 i.
+        start = 4096 * (r["bucket"] - 1)
+        wanted[start : start + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+    placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", (place("doc_id") - 1).alias("place"))
+    sets = stored(placed.mapInArrow(partial(_call, _full, {"k": k, "wanted": shared}), "doc_id long, shingles array<long>"), "shingles")
     both = F.size(F.array_intersect("x", "y"))
     united = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= p * united).select("a", "b")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return stored(pairs.join(left, "a").join(right, "b").where(100 * both >= p * united).select("a", "b"), "similar")
 
 
 def similar_components(docs: DataFrame, k: int = 3, p: int = 90, key: str = "doc_id", text: str = "text", block: int = 2048) -> DataFrame:
@@ -175,7 +202,7 @@ def similar_components(docs: DataFrame, k: int = 3, p: int = 90, key: str = "doc
     sets = stored(rows.mapInArrow(partial(_call, _sets, how), SETS), "sets")
 
     classes = stored(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets")
+        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), *[F.first(b).alias(b) for b in BITS]
     ), "classes")
     links = _light(classes).unionByName(_heavy(rows, classes, k, p, block))
     # A document id can stand on several rows, with several sets.
@@ -200,37 +227,31 @@ def _light(classes: DataFrame) -> DataFrame:
 
 def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> DataFrame:
     """Links from inverted lists."""
-    entries = classes.select("rep", "n", F.size("prefix").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.select("token", "rep", (F.col("n") * (1 << 24) + F.col("pos")).alias("place"), "size")
+    entries = classes.select("rep", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     listed = stored(entries.join(lists, "token"), "lists")
-    central = listed.groupBy("rep").agg((F.sum("m") / F.first("size")).alias("central"))
-    members = stored(listed.join(central, "rep").select(
-        "token", "rep", "central", "m", F.shiftright("place", 24).alias("n"), (F.col("place") % (1 << 24)).alias("pos")
-    ), "members")
-    texts = rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(partial(_call, _full, {"k": k}), "doc_id long, shingles array<long>"), "shingles")
-
-    best = members.groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("least"), "n")).alias("best")).select(
-        "token", (-F.col("best.least")).alias("b"), F.col("best.n").alias("bn")
-    )
-    stars = members.join(best, "token").where((F.col("rep") != F.col("b")) & _compatible(F.col("n"), F.col("bn"), p))
-    links = stored(_similar(stars.select(F.col("rep").alias("a"), "b").distinct(), sets, p), "stars")
-
-    labels = components(links)
-    labelled = stored(members.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("part")
-    ), "labelled")
+    central = listed.groupBy("rep").agg(F.sum("m").alias("m"))
+    facts = classes.join(central, "rep").select("rep", "n", (F.col("m") / F.size("prefix")).alias("central"), *BITS)
+    members = stored(listed.drop("m").join(facts, "rep"), "members")
+
+    best = members.groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("least"), "n", "pos", *BITS)).alias("best"))
+    best = best.select("token", (-F.col("best.least")).alias("b"), F.col("best.n").alias("bn"), F.col("best.pos").alias("bp"), *[F.col(f"best.{x}").alias(f"b_{x}") for x in BITS])
+    left = members.select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), *[F.col(x).alias(f"a_{x}") for x in BITS])
+    stars = left.join(best, "token").where((F.col("a") != F.col("b")) & _may_be_similar(p))
+    links = _verified(stars.select("a", "b"), rows, k, p)
+
+    part = F.coalesce("component", "rep").alias("part")
+    labelled = members.select("token", "rep").join(components(links), F.col("rep") == F.col("node"), "left").select("token", "rep", part)
     open_ = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m")).where("low < high")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rest = labelled.join(open_.select("token", blocks.alias("blocks")), "token")
-    left = rest.select("token", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"), F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("part").alias("apart"))
-    right = rest.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("part").alias("bpart"))
-    most = F.least("ap", "bp") + 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
-    pairs = left.join(right, ["token", "i"]).where(
-        (F.col("apart") < F.col("bpart")) & _compatible(F.col("an"), F.col("bn"), p) & (most >= _reach(F.col("an"), F.col("bn"), p))
+    open_ = open_.select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rest = stored(members.drop("central").join(labelled, ["token", "rep"]).join(open_, "token"), "open")
+    side = lambda x, i: rest.select(
+        "token", i.alias("i"), F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"), F.col("part").alias(f"{x}part"), *[F.col(b).alias(f"{x}_{b}") for b in BITS]
     )
-    return links.unionByName(_similar(pairs.select("a", "b").distinct(), sets, p))
+    left = side("a", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _may_be_similar(p))
+    return links.unionByName(_verified(pairs.select("a", "b"), rows, k, p))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p: int = 90) -> DataFrame:
