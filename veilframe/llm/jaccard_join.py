@@ -11,10 +11,10 @@ size, so the order is common to all; rarer first), and only the first s - ceil(p
 listed, of which similar sets share one.  The boundary is the size with the smallest estimated cost,
 from the numbers of sets by size (up to 64) and the subsets and list entries they would make.
 
-Equal sets become one before anything is joined.  In a list, every member is first compared with its
-most central one (the one whose other elements are listed most); lists whose members are then in one
-component are finished, so a large group of near copies costs one comparison for each.  For the others all
-pairs of members in different components are compared that can reach the overlap by size, by place in the
+Equal sets become one before anything is joined.  In a list of up to 64 members all pairs in reach are
+compared.  In a longer one every member is first compared with the most central one (the one whose other elements
+are listed most); lists whose members are then in one component are finished, so a large group of near copies
+costs one comparison for each.  For the others all pairs of members in different components are compared that can reach the overlap by size, by place in the
 lists and by the difference of their parity bitmaps; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.  Comparisons
 are on whole sets of 64-bit shingle hashes.
 
@@ -40,6 +40,7 @@ from .components import components
 
 CELLS, PART = 1 << 20, 1 << 11
 SMALL = 64
+SHORT_LIST = 64  # members; all pairs in reach of such a list are compared at once
 LIST_COST = 4.0  # of one entry of an inverted list, in subsets
 BITS = [f"b{i}" for i in range(4)]
 ID_BITS = 1 << 24
@@ -153,15 +154,27 @@ def _call(work, how, part):
     return work(part, **how)
 
 
-def _may_be_similar(p: int) -> Column:
-    """Whether sets of sizes an and bn that meet at places ap and bp of their lists can reach the
-    overlap: by size, by what is left after the places, and by their bitmaps.  A bit holds the parity of
-    the elements that fall on it, so the sets differ by as many elements as bits differ at least."""
+def _needed(p: int) -> Column:
+    return F.ceil(p * (F.col("an") + F.col("bn")) / F.lit(100.0 + p) - F.lit(1e-9))
+
+
+def _in_reach(p: int) -> Column:
+    """Whether sets of sizes an and bn that meet at places ap and bp of their orders can reach the
+    overlap: by size, and by what is left after the places."""
     s, t = F.col("an"), F.col("bn")
-    needed = F.ceil(p * (s + t) / F.lit(100.0 + p) - F.lit(1e-9))
     most = F.least("ap", "bp") + F.least(s - F.col("ap"), t - F.col("bp"))
+    return (100 * F.least(s, t) >= p * F.greatest(s, t)) & (most >= _needed(p))
+
+
+def _near(p: int) -> Column:
+    """Whether the bitmaps allow it.  A bit holds the parity of the elements that fall on it, so the
+    sets differ by as many elements as bits differ at least."""
     differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
-    return (100 * F.least(s, t) >= p * F.greatest(s, t)) & (most >= needed) & (differ <= s + t - 2 * needed)
+    return differ <= F.col("an") + F.col("bn") - 2 * _needed(p)
+
+
+def _facts(classes: DataFrame, x: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, p: int) -> DataFrame:
@@ -227,31 +240,41 @@ def _light(classes: DataFrame) -> DataFrame:
 
 def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> DataFrame:
     """Links from inverted lists."""
-    entries = classes.select("rep", F.posexplode("prefix").alias("pos", "token"))
+    entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "rep", (F.shiftleft("n", 24) + F.col("pos")).alias("place"))
     lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    listed = stored(entries.join(lists, "token"), "lists")
-    central = listed.groupBy("rep").agg(F.sum("m").alias("m"))
-    facts = classes.join(central, "rep").select("rep", "n", (F.col("m") / F.size("prefix")).alias("central"), *BITS)
-    members = stored(listed.drop("m").join(facts, "rep"), "members")
+    listed = stored(entries.join(lists, "token").select(
+        "token", "rep", F.shiftright("place", 24).alias("n"), (F.col("place") % (1 << 24)).alias("pos"), "m"
+    ), "listed")
 
-    best = members.groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("least"), "n", "pos", *BITS)).alias("best"))
-    best = best.select("token", (-F.col("best.least")).alias("b"), F.col("best.n").alias("bn"), F.col("best.pos").alias("bp"), *[F.col(f"best.{x}").alias(f"b_{x}") for x in BITS])
-    left = members.select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), *[F.col(x).alias(f"a_{x}") for x in BITS])
-    stars = left.join(best, "token").where((F.col("a") != F.col("b")) & _may_be_similar(p))
-    links = _verified(stars.select("a", "b"), rows, k, p)
+    def side(members: DataFrame, x: str, *more: Column) -> DataFrame:
+        return members.select("token", F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"), *more)
+
+    short, long_ = listed.where(F.col("m") <= SHORT_LIST), listed.where(F.col("m") > SHORT_LIST)
+    pairs = side(short, "a").join(side(short, "b"), "token").where((F.col("a") < F.col("b")) & _in_reach(p)).select("a", "b")
+
+    central = long_.groupBy("rep").agg((F.sum("m") / F.first("n")).alias("central"))
+    ranked = long_.join(central, "rep").select("token", F.struct("central", (-F.col("rep")).alias("least"), "n", "pos").alias("member"))
+    best = ranked.groupBy("token").agg(F.max("member").alias("best")).select(
+        "token", (-F.col("best.least")).alias("b"), F.col("best.n").alias("bn"), F.col("best.pos").alias("bp")
+    )
+    stars = side(long_, "a").join(best, "token").where((F.col("a") != F.col("b")) & _in_reach(p)).select("a", "b")
+    both = pairs.unionByName(stars).distinct().join(_facts(classes, "a"), "a").join(_facts(classes, "b"), "b").where(_near(p))
+    links = _verified(both.select("a", "b"), rows, k, p)
 
     part = F.coalesce("component", "rep").alias("part")
-    labelled = members.select("token", "rep").join(components(links), F.col("rep") == F.col("node"), "left").select("token", "rep", part)
+    labelled = stored(long_.drop("m").join(components(links), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", part), "labelled")
     open_ = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m")).where("low < high")
     open_ = open_.select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rest = stored(members.drop("central").join(labelled, ["token", "rep"]).join(open_, "token"), "open")
-    side = lambda x, i: rest.select(
-        "token", i.alias("i"), F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"), F.col("part").alias(f"{x}part"), *[F.col(b).alias(f"{x}_{b}") for b in BITS]
-    )
-    left = side("a", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    right = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _may_be_similar(p))
-    return links.unionByName(_verified(pairs.select("a", "b"), rows, k, p))
+    rest = stored(labelled.join(open_, "token").join(classes.select("rep", *BITS), "rep"), "open")
+
+    def marked(x: str, i: Column) -> DataFrame:
+        return side(rest, x, i.alias("i"), F.col("part").alias(f"{x}part"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
+
+    left = marked("a", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    right = marked("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _in_reach(p) & _near(p))
+    return links.unionByName(_verified(others.select("a", "b"), rows, k, p))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p: int = 90) -> DataFrame:
