@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import plain
 from conftest import SF_SMALL
+from veilframe.functions.types import HIT
 from veilframe.operators import admission as a
 from veilframe.plans import flows
 from veilframe.streaming import streams
@@ -93,10 +94,34 @@ def test_admission_stream(spark, tmp_path):
         requests(spark, rows[part * 100:part * 100 + 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p={part}"))
     schema = requests(spark, rows).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/p=*"))
-    got = run(streams.admit_stream(source, max_requests=4, window_seconds=10), "admitted", str(tmp_path / "c"))
+    got = admitted(spark, source, tmp_path, 4, 10)
     want = plain_admission(rows, 4, 10**7)
-    assert sorted((r.key, r.ts.timestamp(), r.admitted, r.retry_after) for r in got) == sorted(
-        (k, t / 1e6, *want[i]) for k, t, i in rows)
+    assert sorted((r.request_id, r.key, r.ts.timestamp(), r.admitted, r.retry_after) for r in got) == sorted(
+        (i, k, t / 1e6, *want[i]) for k, t, i in rows)
+
+
+def admitted(spark, source, folder, most, seconds):
+    query = streams.admit_stream(source, str(folder / "verdicts"), str(folder / "state"), max_requests=most, window_seconds=seconds)
+    query.awaitTermination()
+    return streams.read_admitted(spark, str(folder / "verdicts")).collect()
+
+
+def test_admission_stream_of_one_key_nulls_and_late_requests(spark, tmp_path):
+    """A key over many Arrow batches in no order; requests without a key; requests that come late."""
+    rng = random.Random(5)
+    rows = [("hot", 10**12 + i * 3000, i) for i in range(33_000)] + [(None, 10**12, 50_000 + i) for i in range(10)]
+    rng.shuffle(rows)
+    late = [("late", 10**12 - 10**9, 60_000), ("hot", 10**12 - 10**9, 60_001)]
+    for part, some in enumerate([rows, late]):
+        requests(spark, some).coalesce(1).write.parquet(str(tmp_path / f"in/p={part}"))
+    source = spark.readStream.schema(requests(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/p=*"))
+    got = {r.request_id: (r.admitted, r.retry_after) for r in admitted(spark, source, tmp_path, 20, 1)}
+    assert len(got) == len(rows) + len(late)
+    named = [r for r in rows if r[0]]
+    want = plain_admission(sorted(named, key=lambda r: r[1:]), 20, 10**6)
+    assert all(got[i] == tuple(want[i]) for _, _, i in named)
+    assert all(got[i] == (True, 0) for k, _, i in rows if k is None)
+    assert got[60_000] == (True, 0) and got[60_001][0] in (True, False)
 
 
 def test_session_expiry_stream(spark, tmp_path):
@@ -142,3 +167,24 @@ def test_outputs(spark):
     assert flows.stateless_output(docs, "doc_id").first().mapping["[EMAIL_001]"] == "mario.rossi@example.com"
     assert flows.highlighted(docs.select("text"), types=["EMAIL"]).first().highlighted_text.count("{") == 1
     assert flows.redacted(docs.select("text"), types=["EMAIL"]).first().redacted_text.count("[REDACTED]") == 1
+
+
+def test_flows_replace_recogniser_hits(spark):
+    """Highlighting, redaction and the stream's row work use hits, and types filter them by any name."""
+    text = "Rita Longo lavora per Vela Srl, r.l@vela.example"
+    hits = [("spacy", "PER", 0, 10, None), ("spacy", "ORG", 22, 30, None)]
+    docs = spark.createDataFrame([(1, text, hits)], f"doc_id int, text string, hits array<{HIT}>")
+    assert flows.redacted(docs).first().redacted_text == "[REDACTED] lavora per [REDACTED], [REDACTED]"
+    shown = flows.highlighted(docs).first().highlighted_text
+    assert shown.startswith("{Rita Longo|PERSON:") and "{Vela Srl|ORG:" in shown
+    assert streams.anonymise_stream(docs).first().anonymized_text == flows.anonymise_only(docs).first().anonymized_text
+    found = lambda types: {e.type for e in flows.anonymise_only(docs, types=types).first().entities}
+    assert found(["ORGANIZATION"]) == found("ORG") == {"ORG"}
+    assert found("ORG,EMAIL") == {"ORG", "EMAIL"} and "ORG" not in found([])
+
+
+def test_deep_json_is_no_failure(spark):
+    from veilframe.sources import files
+
+    rows = spark.createDataFrame([("[" * 100_000 + "]" * 100_000,), ('{"a": 1}',)], "j string")
+    assert [r[0] for r in rows.select(files.flat_json(F.col("j"))).collect()] == [None, "a: 1"]

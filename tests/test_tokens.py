@@ -147,7 +147,7 @@ def test_table_forms(spark):
 def test_hot_key_join(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
     per_key = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = joins.join_hot_keys(rows, per_key, "k", hot_rows=500, spread=7)
+    got = joins.join_hot_keys(rows, per_key, "k", hot_rows=500)
     want = rows.join(per_key, "k", "left")
     assert got.count() == 5000 and got.exceptAll(want.select(got.columns)).count() == 0
 

@@ -365,7 +365,6 @@ TOKEN_FORMAT = "[%s_%03d]"
 TOKEN_PATTERN = r"\[[A-Za-z_]+_[0-9]{3,}\]"          # any case, for restoring and checking
 CHUNK_TOKEN_PATTERN = r"\[[A-Z_]+_[0-9]{3,}\]"       # upper case only, for cutting
 REDACTED = "[REDACTED]"
-HIGHLIGHT_FORMAT = "{%s|%s:%.2f}"
 
 DEFAULT_THRESHOLD = 0.7
 BOOST = 0.05

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixed_values as fv
 
+MOST_BROADCAST = 10_000
+
 
 def derived_key(passphrase: str, salt: bytes) -> bytes:
     """A 256-bit key; run once per saved table, on the driver."""
@@ -19,8 +21,8 @@ def derived_key(passphrase: str, salt: bytes) -> bytes:
 
 
 def with_keys(rows: DataFrame, keys: dict[str, bytes | str], on: str) -> DataFrame:
-    """Add ``_key``, looked up by the value of ``on``; one entry per save, so a tiny table."""
+    """Add ``_key``, looked up by the value of ``on``: one entry per save, broadcast while few."""
     spark = SparkSession.getActiveSession()
     kind = "binary" if all(isinstance(k, bytes) for k in keys.values()) else "string"
     table = spark.createDataFrame(list(keys.items()), f"{on} string, _key {kind}")
-    return rows.join(F.broadcast(table), on)
+    return rows.join(F.broadcast(table) if len(keys) <= MOST_BROADCAST else table, on)

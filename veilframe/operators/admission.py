@@ -86,15 +86,17 @@ def admit(
 ) -> DataFrame:
     """Add ``admitted`` and ``retry_after`` (seconds, 0 if admitted) to every request.
 
-    ``order`` breaks ties of time; requests without a key are not limited.  A stretch of overload of one key is decided in one task,
-    from a sorted stream, with the last admitted times as its only state.
+    ``order`` breaks ties of time; requests without a key are not limited.  A stretch of overload
+    of one key is decided in one task, from a sorted stream, with the last admitted times as its
+    only state.
     """
     if max_requests <= 0 or window_seconds <= 0:
         raise ValueError("max_requests and window_seconds must be positive")
     window = window_seconds * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
     rows = requests.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / window))
-    islands = _islands(_contested(rows, key, order, max_requests, window), key)
+    named = rows.where(F.col(key).isNotNull())
+    islands = _islands(_contested(named, key, order, max_requests, window), key)
     placed = rows.join(islands, [key, "_bucket"], "left")
 
     decided = [F.lit(True).alias("admitted"), F.lit(0).alias("retry_after")]

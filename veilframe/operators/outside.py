@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv, text as tx
 from ..functions.arrays import let
 from ..functions.regex import SPACE
-from ..functions.types import HIT, SPAN
+from ..functions.types import HIT, SPAN, parse_types
 from ..functions.cached import built_once, column
 from ..functions.settle import settled
-from .joins import join_hot_keys
 
 ENGINES = list(fv.RECOGNISER_LABELS)
 # Rule spans come first when all else ties.
@@ -156,7 +155,7 @@ def spans_of_hits(
     )
     strong = F.filter(cleaned, lambda s: s.getField("confidence") >= threshold)
     if types is not None:
-        strong = F.filter(strong, lambda s: s.getField("type").isin(*types))
+        strong = F.filter(strong, lambda s: s.getField("type").isin(*types) if types else F.lit(False))
     return F.coalesce(strong, F.array().cast(f"array<{SPAN}>"))
 
 
@@ -179,7 +178,7 @@ def first_hits(hits: DataFrame, key: str) -> DataFrame:
 def attach_hits(documents: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``hits`` from a table (key, engine, label, start, end, score, place).
 
-    The hits of one document are as many as its text gives rise to.
+    The key is unique in documents, so a plain join on it has no hot key.  The hits of one document are as many as its text gives rise to.
     """
     listed = first_hits(hits, key).groupBy(key).agg(
         F.array_sort(
@@ -187,7 +186,7 @@ def attach_hits(documents: DataFrame, hits: DataFrame, key: str = "doc_id") -> D
         ).alias("hits")
     )
     plain = F.transform("hits", lambda h: h.dropFields("place").cast(HIT))
-    return join_hot_keys(documents, listed.select(key, plain.alias("hits")), key)
+    return documents.join(listed.select(key, plain.alias("hits")), key, "left")
 
 
 def recognise(
@@ -215,6 +214,22 @@ def detect_with_hits(
     """Rules and recogniser hits together: union, boost where they agree, resolve overlaps."""
     from .detect import detect
 
-    chosen = tuple(types) if types is not None else None
-    outside = spans_of_hits(text, "hits", threshold, chosen)
+    types = types if types is None or isinstance(types, str) else list(types)
+    chosen = parse_types(types)
+    # An empty list, unlike no list, lets no hit through.
+    kept = () if types == [] else chosen and tuple(chosen)
+    outside = spans_of_hits(text, "hits", threshold, kept)
     return detect(documents, text, threshold, chosen, outside)
+
+
+def detect_any(
+    documents: DataFrame,
+    text: str = "text",
+    threshold: float = fv.DEFAULT_THRESHOLD,
+    types: Iterable[str] | None = None,
+) -> DataFrame:
+    """Rules, with recogniser hits where the table has a ``hits`` column."""
+    from .detect import detect
+
+    find = detect_with_hits if "hits" in documents.columns else detect
+    return find(documents, text, threshold, types)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,18 +47,37 @@ def restored(text: str | Column, entries: str | Column) -> Column:
     )
 
 
+class _Keys:
+    """Keys of one map, looked up by length: the work is text length times different lengths."""
+
+    def __init__(self, entries):
+        self.values, self.starts = {}, {}
+        for entry in entries:
+            key = entry["token"]
+            self.values[key.upper()] = entry["value"]
+            if key:
+                self.starts.setdefault(key[0].upper(), set()).add(len(key))
+
+    def put_back(self, text: str) -> str:
+        out, copied, place = [], 0, 0
+        while place < len(text):
+            for size in sorted(self.starts.get(text[place].upper(), ()), reverse=True):
+                value = self.values.get(text[place : place + size].upper())
+                if value is not None:
+                    out += [text[copied:place], value]
+                    place += size
+                    copied = place
+                    break
+            else:
+                place += 1
+        return "".join([*out, text[copied:]])
+
+
 @F.pandas_udf(T.StringType())
 def _restore_any_keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, maps in batches:
-        out = []
-        for text, entries in zip(texts, maps):
-            mapping = {e["token"]: e["value"] for e in entries}
-            upper = {k.upper(): v for k, v in mapping.items()}
-            longest_first = sorted(mapping, key=len, reverse=True)
-            any_key = re.compile("|".join(map(re.escape, longest_first)), re.IGNORECASE)
-            put_back = lambda m: upper.get(m[0].upper(), m[0])
-            out.append(text if text is None or not mapping else any_key.sub(put_back, text))
-        yield pd.Series(out, dtype=object)
+        pairs = zip(texts, maps)
+        yield pd.Series([t if t is None else _Keys(m).put_back(t) for t, m in pairs], dtype=object)
 
 
 def restored_any_keys(text: Column, entries: Column) -> Column:

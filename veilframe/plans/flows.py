@@ -9,21 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..functions.settle import settled
 from ..operators import chunk, report
-from ..operators.detect import detect
-from ..operators.outside import detect_with_hits
+from ..operators.outside import detect_any
 from ..operators.restore import restore
 from ..operators.tokens import anonymise, as_map, highlight, redact
 from ..operators.validate import check_anonymised, check_restored
 
 
-def _detected(
-    documents: DataFrame, text: str, threshold: float, types: Iterable[str] | None
-) -> DataFrame:
-    """With recogniser hits where the table has a ``hits`` column."""
-    find = detect_with_hits if "hits" in documents.columns else detect
-    return find(documents, text, threshold, types)
-
-
 def anonymise_only(
     documents: DataFrame,
     text: str = "text",
@@ -31,7 +22,7 @@ def anonymise_only(
     types: Iterable[str] | None = None,
 ) -> DataFrame:
     """The input with ``entities``, ``anonymized_text``, ``entity_map`` and ``validation``."""
-    return check_anonymised(anonymise(_detected(documents, text, threshold, types), text))
+    return check_anonymised(anonymise(detect_any(documents, text, threshold, types), text))
 
 
 def rehydrate_only(texts: DataFrame, text: str = "anonymized_text") -> DataFrame:
@@ -80,11 +71,11 @@ def process(
 
 
 def highlighted(documents: DataFrame, text: str = "text", **options) -> DataFrame:
-    return highlight(detect(documents, text, **options), text)
+    return highlight(detect_any(documents, text, **options), text)
 
 
 def redacted(documents: DataFrame, text: str = "text", **options) -> DataFrame:
-    return redact(anonymise(detect(documents, text, **options), text))
+    return redact(anonymise(detect_any(documents, text, **options), text))
 
 
 def public_output(anonymised: DataFrame, *keep: str, include_values: bool = False) -> DataFrame:

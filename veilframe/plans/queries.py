@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,8 +32,9 @@ def _email_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder under the cluster's checkpoint folder, or under its warehouse if none is set;
+    both are shared by driver and executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{os.urandom(8).hex()}")
 
 
@@ -331,7 +331,7 @@ def chunk_prompts(spark, folder):
 
 
 def processed(spark, folder):
-    done = flows.process(documents(spark, folder), types=EMAIL, limit=0)
+    done = flows.process(documents(spark, folder), types=EMAIL)
     return done.select(
         "doc_id", "llm_response_anonymized",
         F.size("detected_entities").cast("bigint").alias("entity_count"),
@@ -432,13 +432,14 @@ def stream_anonymise(spark, folder):
 
 
 def stream_admission(spark, folder):
+    """The events as a stream; every request with its verdict."""
     schema = table(spark, folder, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    requests = source.select("event_id", "user_id", "ts")
     out, state = _scratch(spark, "admitted"), _scratch(spark, "state")
-    rows = streams.admit_stream(source, "user_id", "ts", 3, DAY)
-    streams.write_stream(rows, out, state).awaitTermination()
-    done = spark.read.parquet(out)
-    return done.groupBy("user_id", "admitted").agg(F.count("*").alias("n"))
+    streams.admit_stream(requests, out, state, "user_id", "ts", "event_id", 3, DAY).awaitTermination()
+    done = streams.read_admitted(spark, out)
+    return done.select("event_id", "user_id", "admitted", *_long("retry_after"))
 
 
 QUERIES = {

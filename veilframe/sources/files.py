@@ -65,12 +65,14 @@ def _parse_json(content: bytes) -> dict:
 
 
 def _parse_csv(content: bytes) -> dict:
+    """One line per record, empty cells left out; numbers are read as such over whole columns."""
     table = pd.read_csv(io.BytesIO(content))
-    rows = (
-        " | ".join(f"{name}: {cell}" for name, cell in row.items() if pd.notna(cell))
-        for _, row in table.iterrows()
-    )
-    return {"text": "\n".join(rows), "columns": list(map(str, table.columns)), "rows": len(table)}
+    names, cells = [str(c) for c in table.columns], table.to_numpy()
+    shown = ~pd.isna(cells)
+    lines = []
+    for record, filled in zip(cells, shown):
+        lines.append(" | ".join([f"{names[i]}: {record[i]}" for i in filled.nonzero()[0]]))
+    return {"text": "\n".join(lines), "columns": names, "rows": len(lines)}
 
 
 def _paragraph(node) -> str:
@@ -111,18 +113,8 @@ def _parse_docx(content: bytes) -> dict:
     return {"text": "\n".join(lines)}
 
 
-def _parse_pdf(content: bytes) -> dict:
-    import pdfplumber  # optional: without it PDF files are listed with an error
-
-    with pdfplumber.open(io.BytesIO(content)) as pages:
-        text = "".join((page.extract_text() or "") + "\n" for page in pages.pages)
-    if not text.strip():
-        raise ValueError("no text in PDF")
-    return {"text": text}
-
-
 _PARSERS: dict[str, Callable[[bytes], dict]] = {
-    ".json": _parse_json, ".csv": _parse_csv, ".docx": _parse_docx, ".pdf": _parse_pdf,
+    ".json": _parse_json, ".csv": _parse_csv, ".docx": _parse_docx,
 }
 
 
@@ -198,12 +190,13 @@ def upload_documents(uploads: DataFrame) -> DataFrame:
 
 
 def flat_json(content: Column) -> Column:
-    """A JSON column as ``key: value`` lines, keys in their order; malformed JSON gives null."""
+    """A JSON column as ``key: value`` lines, keys in their order; malformed or
+    too deeply nested JSON gives null."""
 
     def lines(text: str | None) -> str | None:
         try:
             return None if text is None else json_lines(text)
-        except ValueError:
+        except (ValueError, RecursionError):  # malformed, or nested deeper than the parser goes
             return None
 
     @F.pandas_udf("string")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
-from ..operators.admission import admit_in_order
-from ..operators.detect import detect
+from ..operators.admission import admit
+from ..operators.outside import detect_any
 from ..operators.tokens import anonymise
 from ..operators.validate import check_anonymised
 
@@ -24,7 +23,7 @@ def anonymise_stream(
     types: Iterable[str] | None = None,
 ) -> DataFrame:
     """Tokens start anew in every document, so each row stands alone: no state, no shuffle."""
-    return check_anonymised(anonymise(detect(documents, text, threshold, types), text))
+    return check_anonymised(anonymise(detect_any(documents, text, threshold, types), text))
 
 
 def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -39,44 +38,64 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def admit_stream(
     requests: DataFrame,
+    path: str,
+    state: str,
     key: str = "key",
     time: str = "ts",
+    order: str = "request_id",
     max_requests: int = fv.RATE_MAX_REQUESTS,
     window_seconds: int = fv.RATE_WINDOW_SECONDS,
-    lateness: str = "1 minute",
-) -> DataFrame:
-    """Admission as requests arrive: (key, ts, admitted, retry_after).
-
-    The state of a key is the times of its last admitted requests; it goes when the watermark
-    passes the window.  A key's requests reach the function in bounded batches.
+    keep_seconds: int = 86_400,
+) -> StreamingQuery:
+    """Decide requests as they arrive; every one gets a verdict, late ones too.
+
+    Each micro-batch goes through the batch operator together with the admitted requests of the
+    last window of its keys, which come first and are admitted again.  A request that is older
+    than the last decided one of its key is decided at that one's time, as a limiter with a clock
+    would.  Requests without a key are not limited.  A batch that is repeated overwrites its own
+    folders, so verdicts are written once.  Keys without a request for ``keep_seconds`` are forgotten.
     """
-    window = window_seconds * 1_000_000
+    window = F.expr(f"interval {int(window_seconds)} seconds")
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark, here = batch.sparkSession, batch
+        limited = here.where(F.col(key).isNotNull()).withColumn("_new", F.lit(1))
+        if batch_id:
+            held = spark.read.parquet(f"{state}/held={batch_id - 1}")
+            last = held.groupBy(key).agg(F.max("_last").alias("_last"))
+            limited = limited.join(last, key, "left").withColumn("_time", F.greatest(F.col(time).cast("timestamp"), "_last")).drop("_last")
+            old = held.select(key, "_time", F.lit(0).alias("_new"))
+            limited = limited.unionByName(old, allowMissingColumns=True)
+        else:
+            limited = limited.withColumn("_time", F.col(time).cast("timestamp"))
+        ordered = limited.withColumn("_order", F.struct("_new", order))
+        admit(ordered, key, "_time", "_order", max_requests, window_seconds).drop("_order").write.mode(
+            "overwrite"
+        ).parquet(f"{state}/decided={batch_id}")
+        decided = spark.read.parquet(f"{state}/decided={batch_id}")
+
+        free = here.where(F.col(key).isNull()).withColumns({"admitted": F.lit(True), "retry_after": F.lit(0)})
+        verdicts = decided.where("_new = 1").select(*here.columns, "admitted", "retry_after")
+        verdicts.unionByName(free).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+        ends = decided.groupBy(key).agg(F.max("_time").alias("_last"))
+        span = int(keep_seconds) + int(window_seconds)
+        alive = ends.where(F.col("_last") >= ends.agg(F.max("_last")).scalar() - F.expr(f"interval {span} seconds"))
+        recent = decided.where("admitted").join(alive, key).where(F.col("_time") >= F.col("_last") - window)
+        recent.select(key, "_time", "_last").write.mode("overwrite").parquet(f"{state}/held={batch_id}")
 
-    def decide(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        admitted = deque(state.get[0] if state.exists else [])
-        for batch in batches:
-            ordered = batch.sort_values("_at", kind="stable")
-            marks = admit_in_order(ordered["_at"].tolist(), admitted, max_requests, window)
-            ordered["admitted"], ordered["retry_after"] = zip(*marks)
-            yield ordered.drop(columns="_at")
-        state.update((list(admitted),))
-        until = max([*admitted, state.getCurrentWatermarkMs() * 1000]) + window
-        state.setTimeoutTimestamp(until // 1000 + 1)
-
-    rows = requests.select(key, F.col(time).cast("timestamp").alias(time))
-    timed = rows.withWatermark(time, lateness).withColumn("_at", F.unix_micros(time))
-    out = T.StructType([*rows.schema, T.StructField("admitted", T.BooleanType()),
-                        T.StructField("retry_after", T.IntegerType())])
-    return timed.groupBy(key).applyInPandasWithState(
-        decide, out, "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    return (
+        requests.writeStream.foreachBatch(decide)
+        .option("checkpointLocation", f"{state}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
 
 
+def read_admitted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
+
+
 def expire_stream(
     mapping: DataFrame,
     ttl_seconds: int = fv.SESSION_TTL_SECONDS,
