@@ -11,7 +11,7 @@ size, so the order is common to all; rarer first), and only the first s - ceil(p
 listed, of which similar sets share one.  The boundary is the size with the smallest estimated cost,
 from the numbers of sets by size (up to 64) and the subsets and list entries they would make.
 
-Equal sets become one before anything is joined.  In a list of up to 64 members all pairs in reach are
+Equal sets become one before anything is joined.  In a list of up to 8 members all pairs in reach are
 compared.  In a longer one every member is first compared with the most central one (the one whose other elements
 are listed most); lists whose members are then in one component are finished, so a large group of near copies
 costs one comparison for each.  For the others all pairs of members in different components are compared that can reach the overlap by size, by place in the
@@ -40,7 +40,7 @@ from .components import components
 
 CELLS, PART = 1 << 20, 1 << 11
 SMALL = 64
-SHORT_LIST = 64  # members; all pairs in reach of such a list are compared at once
+SHORT_LIST = 8  # members; all pairs in reach of such a list are compared at once
 LIST_COST = 4.0  # of one entry of an inverted list, in subsets
 BITS = [f"b{i}" for i in range(4)]
 ID_BITS = 1 << 24
@@ -140,14 +140,19 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
 
 
 def _full(batches: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the documents whose place is marked."""
-    wanted = wanted.value
+    """Whole sets of the documents whose place is marked for either side, with the marks."""
+    sides = wanted.value
     for batch in batches:
         place = batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
-        some = pa.Table.from_batches([batch]).filter(pa.array((wanted[place >> 3] >> (place & 7) & 1).astype(bool))).combine_chunks()
+        marks = [(side[place >> 3] >> (place & 7) & 1).astype(bool) for side in sides]
+        either = marks[0] | marks[1]
+        some = pa.Table.from_batches([batch]).filter(pa.array(either)).combine_chunks()
         if some.num_rows:
             sets = [found.view(np.int64) for _, found in _doc_sets(some, k)]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id").combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id").combine_chunks(), *[pa.array(m[either]) for m in marks], pa.array(sets, pa.list_(pa.int64()))],
+                names=["doc_id", "in_a", "in_b", "shingles"],
+            )
 
 
 def _call(work, how, part):
@@ -177,28 +182,37 @@ def _facts(classes: DataFrame, x: str) -> DataFrame:
     return classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
 
 
+def _places(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ID_BITS)) + 1
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids; bucket i holds the places from 32768 (i - 1) + 1 to 32768 i."""
+    place = ids.select(_places(F.col("id")).alias("place"))
+    found = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = np.zeros(ID_BITS // 8, np.uint8)
+    for r in found.collect():
+        start = 4096 * (r["bucket"] - 1)
+        bits[start : start + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, p: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar.
 
-    Which documents are in a pair goes to the tasks as a bitmap of hashed ids, of fixed size; it lets all
-    of them through and few others, so that texts of other documents are neither hashed nor shuffled.
+    Which documents are on either side of a pair goes to the tasks as two bitmaps of hashed ids, of fixed
+    size; they let all of them through and few others, so that texts of other documents are neither hashed
+    nor shuffled, and sets move only for the sides on which they are needed.
     """
     pairs = stored(pairs.distinct(), "pairs")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(place("a").alias("place"))
-    marks = ids.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    wanted = np.zeros(ID_BITS // 8, np.uint8)
-    for r in marks:
-        # Bucket i holds the places from 32768 (i - 1) + 1 to 32768 i.
-        start = 4096 * (r["bucket"] - 1)
-        wanted[start : start + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
-    placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", (place("doc_id") - 1).alias("place"))
-    sets = stored(placed.mapInArrow(partial(_call, _full, {"k": k, "wanted": shared}), "doc_id long, shingles array<long>"), "shingles")
+    sides = [_marks(pairs.select(F.col(x).alias("id"))) for x in ("a", "b")]
+    shared = rows.sparkSession.sparkContext.broadcast(sides)
+    placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", (_places(F.col("doc_id")) - 1).alias("place"))
+    sets = stored(placed.mapInArrow(partial(_call, _full, {"k": k, "wanted": shared}), "doc_id long, in_a boolean, in_b boolean, shingles array<long>"), "shingles")
     both = F.size(F.array_intersect("x", "y"))
     united = F.size("x") + F.size("y") - both
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.where("in_a").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.where("in_b").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return stored(pairs.join(left, "a").join(right, "b").where(100 * both >= p * united).select("a", "b"), "similar")
 
 
@@ -212,9 +226,11 @@ def similar_components(docs: DataFrame, k: int = 3, p: int = 90, key: str = "doc
     boundary = choose_boundary(parts.pop(-1, np.zeros(SMALL + 1)).tolist(), p)
     cells = np.concatenate([parts[i] for i in sorted(parts)]) if parts else np.zeros(CELLS, np.int64)
     how = {"k": k, "p": p, "boundary": boundary, "cells": spark.sparkContext.broadcast(cells)}
-    sets = stored(rows.mapInArrow(partial(_call, _sets, how), SETS), "sets")
+    # Made twice, once with the lists for the classes and once without: cheaper than storing both.
+    made = rows.mapInArrow(partial(_call, _sets, how), SETS)
+    sets = stored(made.select("doc_id", "n", "d1", "d2"), "sets")
 
-    classes = stored(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
+    classes = stored(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), *[F.first(b).alias(b) for b in BITS]
     ), "classes")
     links = _light(classes).unionByName(_heavy(rows, classes, k, p, block))
@@ -251,7 +267,7 @@ def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> D
         return members.select("token", F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"), *more)
 
     short, long_ = listed.where(F.col("m") <= SHORT_LIST), listed.where(F.col("m") > SHORT_LIST)
-    pairs = side(short, "a").join(side(short, "b"), "token").where((F.col("a") < F.col("b")) & _in_reach(p)).select("a", "b")
+    pairs = side(short, "a").join(side(short, "b"), "token").where((F.col("a") > F.col("b")) & _in_reach(p)).select("a", "b")
 
     central = long_.groupBy("rep").agg((F.sum("m") / F.first("n")).alias("central"))
     ranked = long_.join(central, "rep").select("token", F.struct("central", (-F.col("rep")).alias("least"), "n", "pos").alias("member"))
