@@ -17,7 +17,6 @@ from . import flows
 from .tables import documents, spread, table
 
 EMAIL = ["EMAIL"]
-SURE = ["EMAIL", "IP", "CARD"]
 EXACT = 0.95
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -27,8 +26,8 @@ def _long(*names: str) -> list[Column]:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
-def _email_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return flows.anonymise_only(documents(spark, folder), types=EMAIL)
+def _anonymised(spark: SparkSession, folder: str) -> DataFrame:
+    return flows.anonymise_only(documents(spark, folder))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -45,9 +44,9 @@ def _stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def _stored_emails(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _stored_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Anonymised texts and the mapping, as two tables kept apart."""
-    texts = _email_docs(spark, folder).select("doc_id", "anonymized_text", "entity_map")
+    texts = _anonymised(spark, folder).select("doc_id", "anonymized_text", "entity_map")
     done = _stored(spark, texts, "anonymised")
     return done.select("doc_id", "anonymized_text"), tk.mapping_table(done, "doc_id")
 
@@ -151,7 +150,7 @@ def checksum_candidates(spark, folder):
 
 
 def silent_docs(spark, folder):
-    found = detect(documents(spark, folder), threshold=0.85, types=["EMAIL", "IP"])
+    found = detect(documents(spark, folder))
     return report.silent_documents(found).select("doc_id", _long_length("text"))
 
 
@@ -165,7 +164,7 @@ def size_guard(spark, folder):
 
 
 def dry_run(spark, folder):
-    found = explode_spans(detect(documents(spark, folder), types=EMAIL), "doc_id")
+    found = explode_spans(detect(documents(spark, folder)), "doc_id")
     listed = report.dry_run(found, "doc_id")
     return listed.select("doc_id", "value", "type", "confidence", "source", *_long("start", "end"), "shown")
 
@@ -174,7 +173,7 @@ def dry_run(spark, folder):
 
 
 def batch_report(spark, folder):
-    found = detect(documents(spark, folder, "source", "text"), threshold=EXACT, types=SURE)
+    found = detect(documents(spark, folder, "source", "text"))
     return report.batch_report(found, "source")
 
 
@@ -235,11 +234,11 @@ def recogniser_clean_up(spark, folder):
 
 
 def anonymized_text(spark, folder):
-    return _email_docs(spark, folder).select("doc_id", "anonymized_text")
+    return _anonymised(spark, folder).select("doc_id", "anonymized_text")
 
 
 def token_mapping(spark, folder):
-    return tk.mapping_table(_email_docs(spark, folder), "doc_id")
+    return tk.mapping_table(_anonymised(spark, folder), "doc_id")
 
 
 def sealed_mapping(spark, folder):
@@ -251,7 +250,7 @@ def sealed_mapping(spark, folder):
 
 def merged_mapping(spark, folder):
     """An older and a newer mapping of the same documents; the newer value stays."""
-    _, newer = _stored_emails(spark, folder)
+    _, newer = _stored_parts(spark, folder)
     older = newer.withColumn("value", F.lit("old")).unionByName(
         newer.select("doc_id", F.lit("[OLD_001]").alias("token"), "value")
     )
@@ -262,22 +261,22 @@ def merged_mapping(spark, folder):
 
 
 def highlighted_text(spark, folder):
-    return flows.highlighted(documents(spark, folder), types=EMAIL).select("doc_id", "highlighted_text")
+    return flows.highlighted(documents(spark, folder)).select("doc_id", "highlighted_text")
 
 
 def redacted_text(spark, folder):
-    return flows.redacted(documents(spark, folder), types=EMAIL).select("doc_id", "redacted_text")
+    return flows.redacted(documents(spark, folder)).select("doc_id", "redacted_text")
 
 
 def restore_roundtrip(spark, folder):
-    back = flows.rehydrate_only(_email_docs(spark, folder).drop("validation"))
+    back = flows.rehydrate_only(_anonymised(spark, folder).drop("validation"))
     return back.select("doc_id", "rehydrated_text", F.col("validation.is_valid").alias("is_valid"))
 
 
 def restore_from_table(spark, folder):
     """Anonymised texts joined with the separate mapping table and restored, tokens in lower
     case as a responder may send them."""
-    done, mapping = _stored_emails(spark, folder)
+    done, mapping = _stored_parts(spark, folder)
     texts = done.select("doc_id", F.lower("anonymized_text").alias("response"))
     scoped = texts.withColumn("scope", F.col("doc_id"))
     back = rs.restore_from_table(scoped, mapping.withColumnRenamed("doc_id", "scope"), "scope", "doc_id")
@@ -286,14 +285,14 @@ def restore_from_table(spark, folder):
 
 def unknown_tokens(spark, folder):
     """Tokens of the anonymised texts that a mapping without the first tokens does not hold."""
-    done, mapping = _stored_emails(spark, folder)
+    done, mapping = _stored_parts(spark, folder)
     partial = mapping.where(~F.col("token").endswith("001]"))
     return vd.unknown_tokens(done, partial, "doc_id").select("doc_id", *_long("place"), "token")
 
 
 def leftover_tokens(spark, folder):
     """The same texts as if they were final: every token is left over or invented."""
-    done, mapping = _stored_emails(spark, folder)
+    done, mapping = _stored_parts(spark, folder)
     partial = mapping.where(~F.col("token").endswith("001]"))
     left = vd.leftover_tokens(done, partial, "doc_id", text="anonymized_text")
     return left.select("doc_id", *_long("place"), "token", "error")
@@ -301,7 +300,7 @@ def leftover_tokens(spark, folder):
 
 def leak_check(spark, folder):
     """Values of the map looked for in the anonymised and in the original text."""
-    done = _email_docs(spark, folder)
+    done = _anonymised(spark, folder)
     leaks = vd.anonymised_result("text", "entity_map")
     return done.select(
         "doc_id",
@@ -312,7 +311,7 @@ def leak_check(spark, folder):
 
 def gate_report(spark, folder):
     """How many texts may be sent on, by language."""
-    done = flows.anonymise_only(documents(spark, folder, "lang", "text"), types=EMAIL)
+    done = flows.anonymise_only(documents(spark, folder, "lang", "text"))
     return report.validity(done, "lang")
 
 
@@ -331,7 +330,7 @@ def chunk_prompts(spark, folder):
 
 
 def processed(spark, folder):
-    done = flows.process(documents(spark, folder), types=EMAIL, limit=0)
+    done = flows.process(documents(spark, folder), limit=2000)
     return done.select(
         "doc_id", "llm_response_anonymized",
         F.size("detected_entities").cast("bigint").alias("entity_count"),
@@ -426,7 +425,7 @@ def stream_anonymise(spark, folder):
     schema = table(spark, folder, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     out, state = _scratch(spark, "anonymised"), _scratch(spark, "state")
-    rows = streams.anonymise_stream(source.select("doc_id", "text"), types=EMAIL)
+    rows = streams.anonymise_stream(source.select("doc_id", "text"))
     streams.write_stream(rows.select("doc_id", "anonymized_text"), out, state).awaitTermination()
     return spark.read.parquet(out)
 
