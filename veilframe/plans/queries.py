@@ -14,6 +14,7 @@ from ..operators.detect import detect, explode_spans
 from ..sources import files, mapping as mp
 from ..streaming import streams
 from . import flows
+from .forms import WEAK_FIELDS, forms
 from .tables import documents, spread, table
 
 EMAIL = ["EMAIL"]
@@ -315,6 +316,48 @@ def gate_report(spark, folder):
     return report.validity(done, "lang")
 
 
+# ---- labelled texts with all types ---------------------------------------------------------
+
+
+def form_spans(spark, folder):
+    """Every pattern's finds in the labelled texts of customers."""
+    return _spans(forms(spark, folder), "doc_id", 0.7, None)
+
+
+def form_weak_spans(spark, folder):
+    """The types that only a lower threshold finds."""
+    return _spans(forms(spark, folder, WEAK_FIELDS), "doc_id", 0.6, None)
+
+
+def form_anonymized(spark, folder):
+    done = flows.anonymise_only(forms(spark, folder))
+    return done.select("doc_id", "anonymized_text", F.col("validation.is_valid").alias("is_valid"))
+
+
+def form_mapping(spark, folder):
+    return tk.mapping_table(flows.anonymise_only(forms(spark, folder)), "doc_id")
+
+
+def form_redacted(spark, folder):
+    return flows.redacted(forms(spark, folder)).select("doc_id", "redacted_text")
+
+
+def form_highlighted(spark, folder):
+    return flows.highlighted(forms(spark, folder)).select("doc_id", "highlighted_text")
+
+
+def form_restored(spark, folder):
+    back = flows.rehydrate_only(flows.anonymise_only(forms(spark, folder)).drop("validation"))
+    return back.select("doc_id", "rehydrated_text", F.col("validation.is_valid").alias("is_valid"))
+
+
+def form_gate(spark, folder):
+    """Texts that may be sent on and texts held back, by nation."""
+    nations = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), "c_nationkey")
+    done = flows.anonymise_only(forms(spark, folder)).select("doc_id", "validation")
+    return report.validity(done.join(nations, "doc_id"), "c_nationkey")
+
+
 # ---- prompts -----------------------------------------------------------------------------
 
 
@@ -444,6 +487,7 @@ def stream_admission(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in [
+        form_spans, form_weak_spans, form_anonymized, form_mapping, form_redacted, form_highlighted, form_restored, form_gate,
         entity_stats, email_by_lang, ip_spans, card_luhn, url_in_pages, page_addresses,
         bic_in_conversations, date_spans, amount_spans, phone_and_ids, checksum_candidates,
         silent_docs, size_guard, dry_run, batch_report, source_stats, boosted_spans,
