@@ -118,6 +118,11 @@ ORDER_FIELDS = [
     (" del ", f"{_text('extract(day FROM o_orderdate)', 2)} || '/' || {_text('extract(month FROM o_orderdate)', 2)}"
               " || '/' || CAST(extract(year FROM o_orderdate) AS STRING)", "DATE", 0.95),
 ]
+#: Texts for the gate: one in ten holds a placeholder that nobody gave, one in seven a value inside a longer word.
+GATE_FIELDS = [f for f in FIELDS if f[2] in ("EMAIL", "PHONE", "PERSON", "PASSPORT", "MAC", "URL")] + [
+    (" ; nota ", "CASE WHEN k % 10 = 3 THEN '[PERSON_999]' ELSE 'nessuna' END", None, 0),
+    (" ; archivio ", "CASE WHEN k % 7 = 2 THEN 'zYA' || d || 'z' ELSE 'nessuno' END", None, 0),
+]
 #: Types that only a lower threshold finds.
 WEAK_FIELDS = [("CAP: ", f"'1' || {_FOUR}", "CAP", 0.65), (" ; profilo ", "'@ann_' || k", "USERNAME", 0.62), (" ; codice ", f"'12' || {_FOUR}", None, 0)]
 KEYS = "SELECT c_custkey AS k, lpad(CAST(c_custkey AS STRING), 7, '0') AS d FROM customer"

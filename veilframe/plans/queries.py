@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checks, text as tx
+from ..functions.arrays import running
+from ..functions.settle import settled
 from ..functions.types import HIT
 from ..operators import admission, chunk, columns, outside, report, restore as rs, sessions
 from ..operators import tokens as tk, validate as vd
@@ -14,7 +16,7 @@ from ..operators.detect import detect, explode_spans
 from ..sources import files, mapping as mp
 from ..streaming import streams
 from . import flows
-from .forms import WEAK_FIELDS, forms
+from .forms import GATE_FIELDS, WEAK_FIELDS, forms
 from .tables import documents, spread, table
 
 EMAIL = ["EMAIL"]
@@ -213,18 +215,25 @@ def boosted_spans(spark, folder):
 
 
 def recogniser_clean_up(spark, folder):
-    """Word pairs of conversations as if a recogniser had called them names."""
+    """All pairs of neighbouring words of conversations as if a recogniser had called them names."""
     turns = spread(
         table(spark, folder, "conversations").select(
-            F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text"
+            F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text", F.split("text", " ", -1).alias("words")
         )
     )
-    first = F.regexp_extract("text", r"^\S+ \S+", 0)
-    hit = F.struct(
-        F.lit("spacy").alias("engine"), F.lit("PER").alias("label"), F.lit(0).alias("start"),
-        F.length(first).alias("end"), F.lit(None).cast("double").alias("score"),
+    placed = "struct<start:int,end:int,word:string>"
+    words = running(
+        F.col("words"), F.lit(0), lambda at, w: at + F.length(w) + 1,
+        lambda at, w: F.array(F.struct(at.alias("start"), (at + F.length(w)).alias("end"), w.alias("word")).cast(placed)), placed,
+    )
+    pairs = F.arrays_zip(F.slice("placed", 1, F.greatest(F.size("placed") - 1, F.lit(0))).alias("a"),
+                         F.slice("placed", 2, F.greatest(F.size("placed") - 1, F.lit(0))).alias("b"))
+    whole = lambda p: p["a"]["word"].rlike(r"^\S+\z") & p["b"]["word"].rlike(r"^\S+\z")
+    hit = lambda p: F.struct(
+        F.lit("spacy").alias("engine"), F.lit("PER").alias("label"), p["a"]["start"].alias("start"),
+        p["b"]["end"].alias("end"), F.lit(None).cast("double").alias("score"),
     ).cast(HIT)
-    hits = turns.withColumn("hits", F.when(first != "", F.array(hit)))
+    hits = settled(turns, placed=words).withColumn("hits", F.transform(F.filter(pairs, whole), hit))
     spans = hits.select("turn_id", F.inline_outer(outside.spans_of_hits("text", "hits")))
     return spans.where(F.col("start").isNotNull()).select(
         "turn_id", *_long("start", "end"), "value", "type", "confidence"
@@ -354,10 +363,15 @@ def form_restored(spark, folder):
 def form_gate(spark, folder):
     """Texts that may be sent on and texts held back, by nation."""
     nations = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), "c_nationkey")
-    done = flows.anonymise_only(forms(spark, folder)).select("doc_id", "validation")
+    done = flows.anonymise_only(forms(spark, folder, GATE_FIELDS)).select("doc_id", "validation")
     return report.validity(done.join(nations, "doc_id"), "c_nationkey")
 
 
+def form_processed(spark, folder):
+    """The whole flow: answers with the values back in place, or the reason why a text was not sent."""
+    return flows.process(forms(spark, folder, GATE_FIELDS)).select("doc_id", "final_response", "stopped")
+
+
 # ---- prompts -----------------------------------------------------------------------------
 
 
@@ -488,6 +502,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         form_spans, form_weak_spans, form_anonymized, form_mapping, form_redacted, form_highlighted, form_restored, form_gate,
+        form_processed,
         entity_stats, email_by_lang, ip_spans, card_luhn, url_in_pages, page_addresses,
         bic_in_conversations, date_spans, amount_spans, phone_and_ids, checksum_candidates,
         silent_docs, size_guard, dry_run, batch_report, source_stats, boosted_spans,
