@@ -367,6 +367,21 @@ def form_gate(spark, folder):
     return report.validity(done.join(nations, "doc_id"), "c_nationkey")
 
 
+def session_restore(spark, folder):
+    """Answers restored through sessions of one day, opened today, yesterday (in their last second) or
+    the day before (expired: no text)."""
+    now = F.expr("timestamp '2024-01-25 00:00:00'")
+    opened = now - F.make_interval(days=(F.col("doc_id") % 3).cast("int"))
+    done = flows.anonymise_only(forms(spark, folder, GATE_FIELDS))
+    held = sessions.create_sessions(tk.mapping_table(done, "doc_id"), "doc_id", opened, 86_400)
+    asked = done.select("doc_id", F.col("anonymized_text").alias("response"))
+    asked = asked.join(held.select("doc_id", "session_id").distinct(), "doc_id")
+    back, missed = sessions.restore_with_sessions(asked, held.drop("doc_id"), now, "doc_id")
+    return back.select("doc_id", "rehydrated_text").unionByName(
+        missed.select("doc_id", F.lit(None).cast("string").alias("rehydrated_text"))
+    )
+
+
 def form_processed(spark, folder):
     """The whole flow: answers with the values back in place, or the reason why a text was not sent."""
     return flows.process(forms(spark, folder, GATE_FIELDS)).select("doc_id", "final_response", "stopped")
@@ -502,7 +517,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         form_spans, form_weak_spans, form_anonymized, form_mapping, form_redacted, form_highlighted, form_restored, form_gate,
-        form_processed,
+        form_processed, session_restore,
         entity_stats, email_by_lang, ip_spans, card_luhn, url_in_pages, page_addresses,
         bic_in_conversations, date_spans, amount_spans, phone_and_ids, checksum_candidates,
         silent_docs, size_guard, dry_run, batch_report, source_stats, boosted_spans,
