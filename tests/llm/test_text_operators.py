@@ -127,6 +127,37 @@ def test_similar_components(spark, monkeypatch, seed, k, p, block, short):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, want)]
 
 
+@pytest.mark.parametrize("bounded", [0, 1000])
+def test_similar_components_of_large_sets(spark, monkeypatch, bounded):
+    """Sets with bitmaps of their own size, of two lengths, around the threshold; lists of both kinds."""
+    monkeypatch.setattr(jaccard_join, "BOUNDED", bounded)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=700)) for _ in range(3)]
+    for size in (255, 262, 505, 520, 1030):
+        base = [f"v{size}x{i}" for i in range(size)]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.012, 0.017, 0.0178, 0.019, 0.03):
+            copy = list(base)
+            for i in rng.sample(range(0, size, 3), round(share * size)):
+                copy[i] = f"z{len(texts)}x{i}"
+            texts.append(" ".join(copy + [f"end{len(texts)}"] * rng.randrange(9)))
+        texts.append(" ".join(base[: size // 2] + [f"o{i}" for i in range(size // 2)]))
+    sets = shingle_sets(texts, 3)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    got = by_id(jaccard_join.similar_components(frame(spark, texts, False)))
+    assert len(links) > 10 and [got[i]["component_id"] for i in range(len(texts))] == union_find(len(texts), links)
+
+
+def test_bitmaps_never_overstate_the_difference():
+    rng = np.random.Generator(np.random.PCG64(4))
+    for n, gone, new in ((300, 3, 4), (511, 20, 30), (700, 0, 0), (1000, 900, 50)):
+        one = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = np.append(one[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))
+        maps = [jaccard_join._parities(x, 1 << (len(x) - 1).bit_length()).tobytes() for x in (one, other)]
+        assert jaccard_join._differ([maps[0]], [maps[1]])[0] <= gone + new
+        assert jaccard_join._differ([maps[0], None], [maps[0], maps[1]]).tolist() == [0, 0]
+
+
 def test_similar_components_of_odd_tables(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (2, "a b c d"), (2, "a b c d"), (9, "A B C D")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard_join.similar_components(rows).collect())

@@ -15,8 +15,13 @@ Equal sets become one before anything is joined.  In a list of up to 8 members a
 compared.  In a longer one every member is first compared with the most central one (the one whose other elements
 are listed most); lists whose members are then in one component are finished, so a large group of near copies
 costs one comparison for each.  For the others all pairs of members in different components are compared that can reach the overlap by size, by place in the
-lists and by the difference of their parity bitmaps; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.  Comparisons
-are on whole sets of 64-bit shingle hashes.
+lists and by the difference of their parity bitmaps; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.
+Pairs of larger sets must also agree by bitmaps of a bit or two for each element before their sets move.  Comparisons are on whole sets of 64-bit shingle
+hashes.
+
+The sketch bounds how long a list can be.  Entries of lists that it shows to be at most 4 / 2^20 of all
+elements (and 1,000) long are counted where one shuffle by token brings them together; other lists are
+counted first and joined, which Spark splits where a key is hot.
 
 Cases: fewer words than k are one shingle, the whole sequence; null, empty or blank text has no
 shingles and its own component; rows with the same doc_id are one node; a null doc_id has a null
@@ -31,8 +36,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import hashing as hs
 from .common import only, stored, table, text_buffers
@@ -43,8 +49,10 @@ SMALL = 64
 SHORT_LIST = 8  # members; all pairs in reach of such a list are compared at once
 LIST_COST = 4.0  # of one entry of an inverted list, in subsets
 BITS = [f"b{i}" for i in range(4)]
+BOUNDED = 1000  # entries of a list, beside 4 / 2^20 of all elements, that one shuffle may bring together
+NARROW = 256  # bits of BITS; larger sets have a bitmap of their own size as well
 ID_BITS = 1 << 24
-SETS = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>, subsets array<struct<key:long,side:int>>"
+SETS = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{b} long" for b in BITS) + ", odd binary, cold int, prefix array<long>, subsets array<struct<key:long,side:int>>"
 
 
 def overlap(s: int, t: int, p: int) -> int:
@@ -110,7 +118,13 @@ def _add(part: pa.Table) -> pa.Table:
     return pa.table({"part": part.column("part")[:1], "body": pa.array([counts.tobytes()], pa.binary())})
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cells) -> Iterator[pa.RecordBatch]:
+def _parities(mixed: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap in bytes: whether an odd number of elements falls on each of the bits, a power of two."""
+    place = ((mixed >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cells, most: float) -> Iterator[pa.RecordBatch]:
     cells = cells.value
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
@@ -118,11 +132,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
         for d, found in _doc_sets(batch, k):
             n = len(found)
             mixed = hs.mixed(found)
-            prefix, subsets = [], []
+            prefix, subsets, cold = [], [], 0
             if n and ids[d] is not None:
                 if 100 * n // p > boundary:
-                    order = np.lexsort((mixed, cells[(found & np.uint64(CELLS - 1)).astype(np.int64)]))
-                    prefix = found[order[: n - -(-p * n // 100) + 1]].view(np.int64)
+                    often = cells[(found & np.uint64(CELLS - 1)).astype(np.int64)]
+                    first = np.lexsort((mixed, often))[: n - -(-p * n // 100) + 1]
+                    prefix, cold = found[first].view(np.int64), int((often[first] <= most).sum())
                 for t, c in subset_sizes(n, boundary, p):
                     salt = np.uint64((min(n, t) * 1_000_003 + max(n, t)) & 0xFFFFFFFF)
                     side = 0 if n == t else 1 if n < t else 2
@@ -132,10 +147,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
                     subsets += [{"key": key, "side": side} for key in keys.view(np.int64).tolist()]
             d1 = int(mixed.sum(dtype=np.uint64).view(np.int64))
             d2 = int(hs.mixed(mixed ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
-            odd = np.bincount(((mixed >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-            rows.append((ids[d], n, d1, d2, *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), prefix, subsets))
-        kinds = [pa.int64()] * (4 + len(BITS)) + [pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
-        names = ["doc_id", "n", "d1", "d2", *BITS, "prefix", "subsets"]
+            odd = _parities(mixed, 1 << (n - 1).bit_length()).tobytes() if n > NARROW else None
+            rows.append((ids[d], n, d1, d2, *_parities(mixed, NARROW).view(np.int64).tolist(), odd, cold, prefix, subsets))
+        kinds = [pa.int64()] * (4 + len(BITS)) + [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
+        names = ["doc_id", "n", "d1", "d2", *BITS, "odd", "cold", "prefix", "subsets"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
 
@@ -197,14 +212,33 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, p: int) -> DataFrame:
+def _differ(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Differing bits of two bitmaps, the longer one folded to the length of the other; 0 without both."""
+    out = np.zeros(len(x), np.int64)
+    for i, (u, v) in enumerate(zip(x, y, strict=True)):
+        if u is not None and v is not None:
+            size = min(len(u), len(v))
+            u, v = (np.bitwise_xor.reduce(np.frombuffer(w, np.uint8).reshape(-1, size)) for w in (u, v))
+            out[i] = np.bitwise_count(u ^ v).sum()
+    return pd.Series(out)
+
+
+def _close(pairs: DataFrame, classes: DataFrame, p: int) -> DataFrame:
+    """The pairs that the bitmaps of the sets' own sizes allow."""
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}_odd")), x)
+    differ = F.pandas_udf(_differ, "long")("a_odd", "b_odd")
+    return pairs.withColumn("differ", differ).where(F.col("differ") <= F.col("an") + F.col("bn") - 2 * _needed(p)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, p: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar.
 
     Which documents are on either side of a pair goes to the tasks as two bitmaps of hashed ids, of fixed
     size; they let all of them through and few others, so that texts of other documents are neither hashed
     nor shuffled, and sets move only for the sides on which they are needed.
     """
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(_close(stored(pairs.distinct(), "met"), classes, p), "pairs")
     sides = [_marks(pairs.select(F.col(x).alias("id"))) for x in ("a", "b")]
     shared = rows.sparkSession.sparkContext.broadcast(sides)
     placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", (_places(F.col("doc_id")) - 1).alias("place"))
@@ -225,13 +259,14 @@ def similar_components(docs: DataFrame, k: int = 3, p: int = 90, key: str = "doc
     parts = {r["part"]: np.frombuffer(bytes(r["body"]), np.int64) for r in counted.groupBy("part").applyInArrow(_add, "part int, body binary").collect()}
     boundary = choose_boundary(parts.pop(-1, np.zeros(SMALL + 1)).tolist(), p)
     cells = np.concatenate([parts[i] for i in sorted(parts)]) if parts else np.zeros(CELLS, np.int64)
-    how = {"k": k, "p": p, "boundary": boundary, "cells": spark.sparkContext.broadcast(cells)}
+    how = {"k": k, "p": p, "boundary": boundary, "cells": spark.sparkContext.broadcast(cells), "most": BOUNDED + 4 * float(cells.mean())}
     # Made twice, once with the lists for the classes and once without: cheaper than storing both.
     made = rows.mapInArrow(partial(_call, _sets, how), SETS)
     sets = stored(made.select("doc_id", "n", "d1", "d2"), "sets")
 
     classes = stored(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), *[F.first(b).alias(b) for b in BITS]
+        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"),
+        F.first("odd").alias("odd"), F.first("cold").alias("cold"), *[F.first(b).alias(b) for b in BITS]
     ), "classes")
     links = _light(classes).unionByName(_heavy(rows, classes, k, p, block))
     # A document id can stand on several rows, with several sets.
@@ -256,10 +291,12 @@ def _light(classes: DataFrame) -> DataFrame:
 
 def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> DataFrame:
     """Links from inverted lists."""
-    entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.select("token", "rep", (F.shiftleft("n", 24) + F.col("pos")).alias("place"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    listed = stored(entries.join(lists, "token").select(
+    entries = classes.select("rep", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "rep", (F.shiftleft("n", 24) + F.col("pos")).alias("place"), (F.col("pos") < F.col("cold")).alias("is_cold"))
+    bounded, others = entries.where("is_cold").drop("is_cold"), entries.where("NOT is_cold").drop("is_cold")
+    bounded = bounded.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+    others = others.join(others.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token")
+    listed = stored(bounded.unionByName(others).select(
         "token", "rep", F.shiftright("place", 24).alias("n"), (F.col("place") % (1 << 24)).alias("pos"), "m"
     ), "listed")
 
@@ -276,7 +313,7 @@ def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> D
     )
     stars = side(long_, "a").join(best, "token").where((F.col("a") != F.col("b")) & _in_reach(p)).select("a", "b")
     both = pairs.unionByName(stars).distinct().join(_facts(classes, "a"), "a").join(_facts(classes, "b"), "b").where(_near(p))
-    links = _verified(both.select("a", "b"), rows, k, p)
+    links = _verified(both.select("a", "b"), rows, classes, k, p)
 
     part = F.coalesce("component", "rep").alias("part")
     labelled = stored(long_.drop("m").join(components(links), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", part), "labelled")
@@ -290,7 +327,7 @@ def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> D
     left = marked("a", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     right = marked("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _in_reach(p) & _near(p))
-    return links.unionByName(_verified(others.select("a", "b"), rows, k, p))
+    return links.unionByName(_verified(others.select("a", "b"), rows, classes, k, p))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p: int = 90) -> DataFrame:
