@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -270,3 +271,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.passages(docs, model).where("p_value >= 0.01 OR passage = ''").count() == 0
     none = toxicity.fit(docs.limit(0), labels)
     assert toxicity.scored(odd, none).count() == 3 and toxicity.scored(odd.limit(0), model).count() == 0
+
+
+def test_several_moderate_passages_count_together(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    words = sorted((u for u, s in model["units"].items() if s > 0 and not u.endswith("*")), key=lambda u: (model["units"][u], u))
+    word = words[len(words) // 2]
+    clean = ["xxqz"] * 3000
+    apart = [w for i, w in enumerate(clean) for w in ([word] if i % 250 == 100 else []) + [w]]
+    mixed = spark.createDataFrame([(1, " ".join(apart)), (2, " ".join(apart[:150])), (3, " ".join(clean + [word]))], "doc_id long, text string")
+    got = by_id(toxicity.scored(mixed, model))
+    assert got[1]["predicted"] == 1 and got[3]["predicted"] == 0 and got[1]["score"] > got[3]["score"]
+    found = toxicity.passages(mixed, model).where("doc_id = 1").collect()
+    assert sorted(r["first_word"] for r in found) == [i for i, w in enumerate(apart) if w == word]
+
+
+def test_joint_probability_of_segments():
+    """The bound against sums of the negative binomial distribution, and a hand-made evidence."""
+    lam, k, shape = 1.2, 0.01, 0.7
+    best = np.array([6.0, 5.0, 5.0, 4.0, 1.0, 0.1])
+    for r, got in enumerate(toxicity.joint(best, 1000, (lam, k, shape)), 1):
+        mean = k * 1000 * math.exp(-lam * best[r - 1])
+        terms = [math.exp(math.lgamma(shape + j) - math.lgamma(shape) - math.lgamma(j + 1)) * (shape / (mean + shape)) ** shape * (mean / (mean + shape)) ** j for j in range(r)]
+        tail = 1 - sum(terms)
+        assert math.exp(got) >= tail - 1e-9 and (mean > 0.1 or math.exp(got) <= 1.1 * tail)
+    one = toxicity.evidence([6.0], 1000, 1.0, 0.01, (lam, k, shape))
+    assert one == pytest.approx(6.0 - math.log(10))
+    assert toxicity.evidence([6.0, 5.0, 5.0], 1000, 1.0, 0.01, (lam, k, shape)) > one + 1
+    assert toxicity.evidence([], 1000, 1.0, 0.01, (lam, k, shape)) == pytest.approx(-math.log(10))

@@ -6,6 +6,7 @@ QUERIES = {
     "op1_warc": warc.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_toxicity": toxicity.query,
+    "op8_passages": toxicity.passages_query,
     "op9_top_k": topk.query,
     "op2_quality": quality.query,
     "op3_substring_dedup": substring_dedup.query,
