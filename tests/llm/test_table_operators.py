@@ -155,6 +155,27 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.drawn(odd.limit(0)).count() == 0
 
 
+def test_skewed_sources_meet_their_targets(spark):
+    """One source with a third of the tokens and 19 equal ones."""
+    rows = [(i, "a b c d e f g h i j", "en" if i % 3 else "de", "hot" if i < 950 else f"s{i % 19}") for i in range(2850)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = mixing.marked(docs).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    for r in mixing.marginals(mixing.probabilities(docs), tokens).collect():
+        assert r["expected"] == pytest.approx(r["target"], rel=1e-3)
+    short = mixing.marginals(mixing.probabilities(docs, keep=0.9), tokens).where("value = 'hot'").first()
+    assert short["expected"] > 1.05 * short["target"]
+    kept = {r["hot"]: r["n"] for r in mixing.mixed(docs).groupBy((F.col("source") == "hot").alias("hot")).agg(F.count("*").alias("n")).collect()}
+    want = 950**0.8 / (950**0.8 + 19 * 100**0.8)
+    assert abs(kept[True] / sum(kept.values()) - want) < 0.025
+
+
+def test_targets_that_cannot_be_met_are_an_error(spark):
+    cells = spark.createDataFrame([("s0", "l0", "t", 10), ("s1", "l1", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("s0", 0.5), ("s1", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("l0", 0.9), ("l1", 0.1)], "lang string, share double")}
+    with pytest.raises(ValueError, match="raking is off"):
+        mixing.rake(cells, targets, cycles=5)
+
+
 def test_pipeline_stages(spark):
     """What each stage keeps, recomputed from its operator's rows."""
     import corpus_pipeline as c

@@ -2,8 +2,12 @@
 
 Token counts of cells (source, language, topic) are raked: each dimension in turn is scaled to its target
 marginals until the largest deviation is below `tolerance`.  The ratio of a cell's raked to its own tokens is
-the weight of its documents.  A document is then kept with probability min(1, c * weight), with c such that the
-expected tokens are the share `keep` of all, by comparing the probability with a hash of its id.
+the weight of its documents.  A document is then kept with probability c * weight, by comparing the probability with
+a hash of its id.  By default c is the inverse of the largest weight, so that no probability is cut at 1 and the expected
+tokens of the sample have the targets' shares; the size of the sample follows from the targets.  Where `keep` is given,
+c is such that the expected tokens are that share of all, and probabilities are cut at 1: cells that would need
+repeated documents then fall short of their targets (`marginals` says by how much).  Raking that does not reach the
+tolerance, as with targets that no weights can meet, is an error that names the largest deviation.
 
 Targets are tables (value, share), or by default the shares of the table itself raised to a power below
 one, which gives small sources and languages more and large ones less.  Values without tokens are left out
@@ -52,8 +56,9 @@ def default_targets(cells: DataFrame, powers: dict[str, float] = POWERS) -> dict
     return {d: cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("share")) for d in powers}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, cycles: int = 30) -> DataFrame:
-    """cells (dimensions and tokens) with raked: tokens scaled to the targets' shares."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, cycles: int = 100) -> DataFrame:
+    """cells (dimensions and tokens) with raked: tokens scaled to the targets' shares.  Fails if the
+    deviation is not below the tolerance after all cycles."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     goals = {}
     for d, given in targets.items():
@@ -74,8 +79,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         worst = now.agg(F.max("off")).first()[0]
         now = now.drop("off")
         if worst is None or worst < tolerance:
-            break
-    return now
+            return now
+    raise ValueError(f"raking is off by {worst:.3g} after {cycles} cycles: the targets cannot be met with these cells, or only more slowly")
 
 
 def calibrate(raked: DataFrame, keep: float) -> float:
@@ -98,20 +103,36 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 48)
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = 0.9, topic: Column | None = None) -> DataFrame:
+def marginals(cells: DataFrame, tokens: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """dimension, value, target and expected share of each marginal: cells with probability, and their tokens."""
+    both = tokens.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left").withColumn("drawn", F.col("tokens") * F.coalesce("probability", F.lit(0.0)))
+    out = None
+    for d, given in (targets or default_targets(tokens)).items():
+        here = given.groupBy(d).agg(F.sum("share").alias("share")).where("share > 0")
+        sums = both.groupBy(d).agg(F.sum("drawn").alias("drawn")).join(here, d, "left")
+        whole = sums.agg(F.sum("share").alias("_share"), F.sum("drawn").alias("_drawn"))
+        rows = sums.crossJoin(whole).select(
+            F.lit(d).alias("dimension"), F.col(d).alias("value"), (F.coalesce("share", F.lit(0.0)) / F.col("_share")).alias("target"),
+            (F.col("drawn") / F.col("_drawn")).alias("expected"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float | None = None, topic: Column | None = None) -> DataFrame:
     """Cells with weight and probability."""
     return _cells(marked(docs, topic), targets, keep)
 
 
-def _cells(rows: DataFrame, targets: dict[str, DataFrame] | None, keep: float) -> DataFrame:
+def _cells(rows: DataFrame, targets: dict[str, DataFrame] | None, keep: float | None) -> DataFrame:
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
     raked = rake(cells, targets or default_targets(cells))
-    c = calibrate(raked, keep)
     weight = F.col("raked") / F.col("tokens")
+    c = 1 / (raked.agg(F.max(weight)).first()[0] or 1.0) if keep is None else calibrate(raked, keep)
     return raked.select(*DIMENSIONS, weight.alias("weight"), F.least(F.lit(1.0), weight * c).alias("probability"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = 0.9) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float | None = None) -> DataFrame:
     """The rows of docs that are drawn, with their columns."""
     text = F.coalesce("text", F.lit(""))
     cells = probabilities(docs, targets, keep).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
@@ -123,7 +144,7 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: fl
     return rows.where(uniform(F.col("doc_id")) < chance).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = 0.9) -> DataFrame:
+def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float | None = None) -> DataFrame:
     """One row per row of docs: doc_id, dimensions, tokens, weight, probability, kept."""
     rows = stored(marked(only(docs, doc_id="doc_id", text="text", source="source", lang="lang")), "marked")
     cells = _cells(rows, targets, keep)
