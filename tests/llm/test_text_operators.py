@@ -301,3 +301,13 @@ def test_joint_probability_of_segments():
     assert one == pytest.approx(6.0 - math.log(10))
     assert toxicity.evidence([6.0, 5.0, 5.0], 1000, 1.0, 0.01, (lam, k, shape)) > one + 1
     assert toxicity.evidence([], 1000, 1.0, 0.01, (lam, k, shape)) == pytest.approx(-math.log(10))
+
+
+def test_licences_are_not_taken_for_each_other(spark):
+    named = ["CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-4.0", "all-rights-reserved", "MPL-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0-or-later", "AGPL-3.0-or-later"]
+    texts = [f"one two. {licences.TEMPLATES[n]} three four" for n in named] + ["Licensed under CC BY 3.0.", "Released under a MIT License."]
+    found = collections.defaultdict(list)
+    for r in licences.scan(frame(spark, texts, False)).collect():
+        found[r["doc_id"]].append((r["license"], round(r["coverage"], 3)))
+    assert [found[i] for i in range(len(named))] == [[(n, 1.0)] for n in named]
+    assert not found[len(named)] and found[len(named) + 1] == [("MIT-notice", 0.8)]

@@ -1,22 +1,24 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
 Texts and templates become words of letters and digits (A-Z lowered, other ASCII signs count as spaces).  The
-inverted index holds the winnowed fingerprints of the templates: of each `window` consecutive hashes of `gram`
-words the smallest, so that any run of gram + window - 1 words in common shares one.  A document is fingerprinted
-the same way.  Its hits on one template, grouped by place and diagonal, give regions; a local alignment in a
+inverted index holds the winnowed fingerprints of long templates: of each `window` consecutive hashes of `gram`
+words the smallest, so that any run of gram + window - 1 words in common shares one.  Templates whose `coverage`
+allows changes that leave shorter runs have all their fingerprints in it, of as many words as such a run has at
+least, and all of a document's are looked up.  Its hits on one template, grouped by place and diagonal, give regions; a local alignment in a
 band of `band` words around the region's diagonals gives the matched words and their span.  Matches that cover
 `coverage` of the template's words are reported, each place once per template, and where matches of several templates
-overlap only the one with the most matched words.
+overlap only the one with the most matched words.  The words that name a licence (`NAMING`) must stand in a match without
+a change, so that CC BY-ND or version 3.0 is not taken for CC BY 4.0.
 
 The index depends on the templates alone and goes to every task; documents are read in one pass without a shuffle.
 
-Cases: null, empty or short texts have no matches; templates shorter than `gram` words are matched as one
-fingerprint of their own length; repeated rows are reported each; a null doc_id stays null; an empty table or no
+Cases: null, empty or short texts have no matches; templates without words are never found; repeated rows are reported each; a null doc_id stays null; an empty table or no
 templates give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,6 +36,44 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "all-rights-reserved": "All rights reserved.",
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
@@ -60,6 +100,16 @@ TEMPLATES = {
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
 }
+NAMING = {
+    "Apache-2.0-line": "Apache License, Version 2.0",
+    "GPL-3.0-line": "GNU General Public License, version 3",
+    "GPL-3.0-or-later": "the GNU General Public License as",
+    "LGPL-2.1-or-later": "Lesser General Public License",
+    "LGPL-3.0-or-later": "Lesser General Public License",
+    "AGPL-3.0-or-later": "Affero General Public License",
+    "MPL-2.0": "Mozilla Public License",
+    "all-rights-reserved": "All rights reserved",
+} | {name: "CC " + name[3:] for name in TEMPLATES if name.startswith("CC-")}
 RESULT = "doc_id long, license string, start long, end long, first_word long, last_word long, matched long, coverage double"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -88,22 +138,37 @@ def _grams(words: np.ndarray, gram: int) -> np.ndarray:
     return hs.run_hashes((words, words), np.array([len(words)]), gram)[0]
 
 
-def index(templates: dict[str, str], gram: int, window: int) -> dict:
-    """Words of each template and the inverted index: sorted fingerprints with template and place."""
-    words, entries = [], []
+def shortest_run(length: int, coverage: float) -> int:
+    """Equal words in a row that a match has at least, when words are replaced as coverage allows."""
+    least = max(1, math.ceil(coverage * length - 1e-9))
+    return -(-least // (length - least + 1))
+
+
+def _hashes(text: str) -> np.ndarray:
+    return _words(*text_buffers(pa.array([text])))[2]
+
+
+def index(templates: dict[str, str], gram: int, window: int, coverage: float = 0.8, naming: dict[str, str] = NAMING) -> dict:
+    """Words of each template, its naming words, and the inverted index: sorted fingerprints with
+    template and place."""
+    words, entries, every = [], [], set()
     for name, text in templates.items():
-        data, offsets = text_buffers(pa.array([text]))
-        w = _words(data, offsets)[2]
+        w = _hashes(text)
         words.append((name, w))
-        size = min(gram, len(w))
+        run = shortest_run(len(w), coverage) if len(w) else 0
+        size = min(gram, run)
         if size:
             grams = _grams(w, size)
-            entries += [(size, int(grams[i]), len(words) - 1, i) for i in winnow(grams, window).tolist()]
+            dense = run < gram + window - 1
+            if dense:
+                every.add(size)
+            entries += [(size, int(grams[i]), len(words) - 1, i) for i in (range(len(grams)) if dense else winnow(grams, window).tolist())]
     sizes = {}
     for size in sorted({e[0] for e in entries}):
         some = sorted(e[1:] for e in entries if e[0] == size)
         sizes[size] = (np.array([e[0] for e in some], np.uint64), np.array([e[1:] for e in some], np.int64))
-    return {"words": words, "sizes": sizes, "gram": gram, "window": window}
+    named = [_hashes(naming[name]) if name in naming else None for name in templates]
+    return {"words": words, "named": named, "sizes": sizes, "every": every, "window": window}
 
 
 def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int]:
@@ -141,6 +206,12 @@ def _regions(places: np.ndarray, diagonals: np.ndarray, length: int, band: int)
     return [tuple(r) for r in found]
 
 
+def _holds(words: np.ndarray, run: np.ndarray | None) -> bool:
+    if run is None or not len(run):
+        return True
+    return len(words) >= len(run) and bool((np.lib.stride_tricks.sliding_window_view(words, len(run)) == run).all(axis=1).any())
+
+
 def scan_words(words: np.ndarray, made: dict, band: int, coverage: float) -> list[tuple[int, int, int, int, float]]:
     """Matches in one document's words: template, first and last word, matched words, coverage."""
     hits = []
@@ -148,8 +219,7 @@ def scan_words(words: np.ndarray, made: dict, band: int, coverage: float) -> lis
         if len(words) < size:
             continue
         grams = _grams(words, size)
-        # A template of `size` words has one fingerprint only, so all of a document's are looked up.
-        picked = winnow(grams, made["window"]) if size == made["gram"] else np.arange(len(grams))
+        picked = np.arange(len(grams)) if size in made["every"] else winnow(grams, made["window"])
         low, high = np.searchsorted(known, grams[picked]), np.searchsorted(known, grams[picked], "right")
         for k in np.flatnonzero(high > low).tolist():
             hits += [(int(t), int(picked[k]), int(picked[k]) - int(p)) for t, p in where[low[k] : high[k]]]
@@ -161,7 +231,7 @@ def scan_words(words: np.ndarray, made: dict, band: int, coverage: float) -> lis
             start = max(0, low - band)
             part = words[start : high + len(template) + band]
             _, matched, first, last = align(part, template, (low + high) // 2 - start, band + (high - low + 1) // 2)
-            if matched >= coverage * len(template):
+            if matched >= coverage * len(template) and _holds(part[first : last + 1], made["named"][t]):
                 out.append((t, start + first, start + last, matched, matched / len(template)))
     kept: list = []
     for m in sorted(out, key=lambda m: (-m[3], -m[4], m[1], m[0])):
@@ -205,7 +275,7 @@ def scan(
 ) -> DataFrame:
     """One row per match: doc_id, license, start and end in characters, first_word, last_word,
     matched (words) and coverage of the template."""
-    made = docs.sparkSession.sparkContext.broadcast(index(templates, gram, window))
+    made = docs.sparkSession.sparkContext.broadcast(index(templates, gram, window, coverage))
     rows = only(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_call, _scan, {"made": made, "band": band, "coverage": coverage}), RESULT)
 
