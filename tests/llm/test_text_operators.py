@@ -311,3 +311,15 @@ def test_licences_are_not_taken_for_each_other(spark):
         found[r["doc_id"]].append((r["license"], round(r["coverage"], 3)))
     assert [found[i] for i in range(len(named))] == [[(n, 1.0)] for n in named]
     assert not found[len(named)] and found[len(named) + 1] == [("MIT-notice", 0.8)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated and null ids: one row of each text, and of each near text."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "A a"), (5, "A a"), (5, "B b"), (7, "C c"), (7, "C  c"), (None, "D d"), (None, "D d"), (None, "A a"), (8, long), (8, long + " x"), (9, long + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    single = exact_dedup.deduplicated(docs)
+    want = [("3", "A a"), ("5", "B b"), ("7", "C  c"), ("8", long), ("8", long + " x"), ("9", long + " y"), ("None", "D d")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in single.collect()) == want and single.columns == docs.columns
+    far = jaccard_join.deduplicated(single, k=5, p=80).collect()
+    assert sorted(str(r["doc_id"]) for r in far) == ["3", "5", "7", "8", "None"]

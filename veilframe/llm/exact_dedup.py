@@ -49,7 +49,8 @@ def chunk_store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; kept marks the rows with the
+    id that stays, `deduplicated` keeps one row of them.
 
     Of equal texts the one with the most characters in the original stays, then the smallest
     doc_id.  Fails if two chunk contents share an identifier.
@@ -67,9 +68,18 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_groups(docs, key, text).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """One row of each group of equal texts, with all its columns: the one with the most characters, then
+    the smallest doc_id, nulls last, then any one.  Rows are told apart by a number in a stored copy."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    doubtful = chunk_store(rows, key, text).where("contents > 1").agg(F.count("*").alias("n")).scalar()
+    norm = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, "")
+    identifiers = F.transform(chunks(norm), lambda c: F.unhex(sha256_of(c)))
+    id_ = F.col(f"`{key}`")
+    order = F.struct(-F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))), id_.isNull(), id_.alias("id"), F.col("_row").alias("_row"))
+    checked = F.assert_true(doubtful == 0, F.lit("two chunk contents share an identifier"))
+    best = rows.select(identifiers.alias("recipe"), order.alias("order")).groupBy("recipe").agg(F.min("order").alias("best"))
+    keep = best.select(F.col("best._row").alias("_row"), checked.alias("checked")).where(F.col("checked").isNull()).select("_row")
+    return rows.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -331,10 +331,14 @@ def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> D
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p: int = 90) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id."""
-    found = similar_components(docs, k, p, key, text)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns: the one with the smallest doc_id, nulls last, then
+    any one.  Rows are told apart by a number in a stored copy, so repeated and null ids are linked row by row."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = similar_components(rows, k, p, "_row", text).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    id_ = F.col(f"`{key}`")
+    order = F.struct(id_.isNull(), id_.alias("id"), F.col("_row").alias("_row"))
+    keep = rows.select("_row", order.alias("order")).join(found, "_row").groupBy("_part").agg(F.min("order").alias("best"))
+    return rows.join(keep.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
