@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import conversations, exact_dedup, jaccard_join, licences, mixing, pieces, quality, substring_dedup, topk, toxicity, vector_codes, warc
+from . import conversations, exact_dedup, jaccard_join, licences, mixing, pieces, quality, substring_dedup, topk, toxicity, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_pieces": pieces.query,
     "op6_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_url_filter": url_filter.query,
     "op12_vector_codes": vector_codes.query,
     "op13_conversation_repair": conversations.query,
 }
