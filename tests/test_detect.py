@@ -218,3 +218,67 @@ def test_nfc(spark):
     assert [got[i] for i in range(len(texts))] == [
         None if t is None else unicodedata.normalize("NFC", t) for t in texts
     ]
+
+
+def widest(pattern):
+    """The width of the widest match if no character is repeated without limit more than RUN times."""
+    from re import _constants as c, _parser
+
+    def width(items):
+        total = 0
+        for op, given in items:
+            if op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+                _, most, body = given
+                total += d.RUN if most is c.MAXREPEAT else most * width(body)
+            elif op is c.SUBPATTERN:
+                total += width(given[-1])
+            elif op is c.BRANCH:
+                total += max(map(width, given[1]))
+            elif op not in (c.AT, c.ASSERT, c.ASSERT_NOT):
+                total += 1
+        return total
+
+    return width(_parser.parse(pattern, re.IGNORECASE))
+
+
+def test_matches_at_labels_fit_their_windows():
+    labelled = [p for _, _, p in fv.PATTERNS if d._has_label(p)]
+    assert len(labelled) >= 20
+    for pattern in labelled:
+        assert widest(pattern) < d.WINDOW - 1, pattern
+        head, _, rest = pattern.partition("(?P<v>")
+        assert not head.startswith((r"\b", "(?<"))
+        unlimited = set(re.findall(r"(\[[^\]]*\]|\\s|\)|\w)[*+]", pattern))
+        assert unlimited <= {r"\s", r"[\s:]", r"[\s.:#]", r"[\s.:#nº°]", "[ \t]", r"[ \t]", "[a-zà-öø-ÿß'’]", ")"}, unlimited
+
+
+def test_label_starts_cover_generated_labels():
+    """Whatever a label pattern matches, the scan of the lower-case text marks its first character, with letters
+    that lead to the pattern."""
+    java = {r"\\p{L}": r"[^\W\d_]"}
+    labelled = [(i, p) for i, (_, _, p) in enumerate(fv.PATTERNS) if d._has_label(p)]
+    starts = regex.label_starts(tuple(p for _, p in labelled)).replace("(?-iu:", "(?:").replace("(?s:..)", "(?s:..)")
+    assert java and re.compile(starts)
+    for i, pattern in labelled:
+        two, one = regex.first_letters(pattern)
+
+        @settings(max_examples=60, database=None, deadline=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(plain.COMPILED[i][2], fullmatch=True))
+        def run(value):
+            low = value.translate(str.maketrans(d.ODD_LETTERS, d.THEIR_TWINS)).lower()
+            found = re.compile(starts).match(low)
+            assert found and (found[1] in two or found[1][0] in one), value
+
+        run()
+
+
+def test_windows_and_runs_at_their_limits(spark):
+    """Labels at the ends of blocks, matches over them, runs of characters just under and over the limit."""
+    texts = []
+    for n in [*range(d.BLOCK - 40, d.BLOCK + 3, 7), 2 * d.BLOCK - 5, 3 * d.BLOCK]:
+        texts += ["x" * 30 + " y" * ((n - 30) // 2) + " Cliente: Mario Rossi Passaporto: YA1234567 😀" * 3]
+    for n in (d.RUN - 1, d.RUN, d.RUN + 1, 700):
+        texts += [f"importo{' ' * n}12,50 saldo: 3", f"nome Mario R{'o' * n}ssi utente anna", f"totale 1{'.000' * n}"]
+    texts += ["nome Cliente Mario Rossi Bianchi " * 40, "saldo saldo saldo 12 importo:12 n. conto 123456789012 login account: rossi.1"]
+    same_as_plain(spark, texts)
+    same_as_plain(spark, texts, threshold=0.9)

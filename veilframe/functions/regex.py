@@ -249,3 +249,29 @@ def marking(pattern: str, open_mark: str, close_mark: str) -> tuple[str, str]:
         return regex, f"{open_mark}$0{close_mark}"
     flags, body = head[:5], head[5:]
     return f"{flags}({body})({tail}", f"$1{open_mark}$2{close_mark}"
+
+
+@functools.cache
+def label_starts(patterns: tuple[str, ...]) -> str:
+    """A zero-width regex for every place of lower-case text where a label of one of the patterns begins; its group 1
+    holds the next two characters."""
+    labels = {label.lower() for pattern in patterns for label in label_head(pattern)[0]}
+    return java_regex(rf"(?=(?:{grouped(sorted(labels, key=lambda x: (-len(x), x)))}))", any_case=False) + r"(?=((?s:..)))"
+
+
+@functools.cache
+def first_letters(pattern: str) -> tuple[list[str], list[str]]:
+    """With which two letters a label of the pattern begins, and with which single letter if the second varies."""
+    two, one = set(), set()
+    for label in label_head(pattern)[0]:
+        plain = _PLAIN_LETTER.match(label[1:]) and _PLAIN_LETTER.match(label)
+        (two if plain else one).add(label[: 2 if plain else 1].lower())
+    return sorted(two), sorted(one)
+
+
+@functools.cache
+def anchored(pattern: str) -> str:
+    """The pattern of a label and a value, at the start of its text only; groups 1 and 2 are what stands before the
+    value and the value."""
+    find, _ = marking(pattern, "", "")
+    return f"{find[:5]}^{find[5:]}"

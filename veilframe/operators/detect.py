@@ -1,8 +1,13 @@
 """Rule detection: one text column in, one array of spans out, without a shuffle.
 
-Each pattern marks its matches in a copy of the text; cutting the copy at the marks gives the
-values and, by adding up lengths, their offsets.  A pattern is tried only on texts that pass
-cheap tests which every match must satisfy, so most patterns never scan most texts.
+A pattern is tried only on texts that pass cheap tests which every match must satisfy, so most patterns
+never scan most texts.
+
+Patterns that begin with a label do not scan at all: one pass over the lower-case text marks every place where a
+label of any of them begins, and a pattern is tried only at those of its own letters, on a window that
+every match fits into.  The other patterns mark their matches in a copy of the text; cutting the copy at the
+marks gives the values and, by adding up lengths, their offsets.  Texts with runs of characters so long that a
+match might not fit its window are scanned by all patterns.
 """
 
 from __future__ import annotations
@@ -69,11 +74,15 @@ def _any_of(pieces: list[str]) -> str:
     return "(" + " or ".join(f"contains(q.low, {_quoted(p)})" for p in pieces) + ")"
 
 
-def _marked(ord_: int, type_: str, confidence: float, pattern: str) -> str:
-    """SQL for one pattern over text t, lower-case text q.low and q.digits.
+# A window holds any match of a label pattern in a text without runs of RUN of the characters that such patterns repeat
+# without limit (a test adds up their widths).  Texts are cut into blocks that overlap by a window.
+RUN, WINDOW, BLOCK = 40, 1024, 1024
+LONG_RUN = f"[{regex.SPACE}.:#nNº°]{{{RUN}}}|[\\p{{L}}'’]{{{RUN}}}|[0-9.]{{{RUN}}}"
+FIND = "struct<ord:int,type:string,confidence:double,first:int,start:int,value:string>"
 
-    The quick tests come first, the pattern itself last.
-    """
+
+def _tests(ord_: int, type_: str, pattern: str) -> list[str]:
+    """SQL for what a text t with lower-case text q.low and q.digits must hold for the pattern to be tried."""
     tests = []
     digits = DIGITS_NEEDED.get(type_, DIGITS_NEEDED.get(ord_))
     if digits:
@@ -85,17 +94,26 @@ def _marked(ord_: int, type_: str, confidence: float, pattern: str) -> str:
     stems = regex.label_stems(pattern)
     if stems:
         tests.append(_any_of(stems))
+    return tests or ["true"]
+
+
+def _has_label(pattern: str) -> bool:
+    return regex.label_head(pattern) is not None
+
+
+def _marked(ord_: int, type_: str, confidence: float, pattern: str) -> str:
+    """SQL for one pattern that scans the text; the quick tests come first.  A copy without marks equals the text."""
     find, replacement = regex.marking(pattern, OPEN, CLOSE)
-    tests.append(f"t rlike {_quoted(find)}")
+    when = f"q.wild and array_contains(q.live, {ord_})" if _has_label(pattern) else " and ".join(_tests(ord_, type_, pattern))
     return (
         f"named_struct('ord', {ord_}, 'type', '{type_}', 'confidence', {confidence}D, 'marked', "
-        f"case when {' and '.join(tests)} "
-        f"then regexp_replace(t, {_quoted(find)}, {_quoted(replacement)}) end)"
+        f"case when {when} then transform(array(regexp_replace(t, {_quoted(find)}, {_quoted(replacement)})), m -> if(m = t, null, m))[0] end)"
     )
 
 
 def _hits(text: str, chosen: list[tuple[int, str, float, str]]) -> Column:
-    """The marked copies of the text, one per pattern that matches.
+    """A struct of ``hits``, the marked copies of the text, one per pattern that matches, and for the patterns
+    with labels: ``live``, those to be tried, ``starts``, the lower-case text with the labels' beginnings marked, and ``blocks``.
 
     This is one SQL text because it is long: sending it to the JVM piece by piece takes
     seconds.
@@ -109,14 +127,78 @@ def _hits(text: str, chosen: list[tuple[int, str, float, str]]) -> Column:
         "case when not t rlike '[0-9]' then 0 when not t rlike '[0-9]{3}' then 1 "
         "when not t rlike '[0-9]{6}' then 3 else 6 end"
     )
+    labelled = [rule for rule in chosen if _has_label(rule[3])]
+    tried = ", ".join(f"case when {' and '.join(_tests(i, type_, pattern))} then {i} end" for i, type_, _, pattern in labelled)
+    live = f"filter(array({tried}), i -> i is not null)" if labelled else "cast(array() as array<int>)"
     rows = ", ".join(_marked(*rule) for rule in chosen)
+    starts = f"regexp_replace(q.low, {_quoted(regex.label_starts(tuple(r[3] for r in labelled)))}, '{OPEN}$1{CLOSE}')" if labelled else "cast(null as string)"
+    blocks = f"regexp_extract_all(t, '(?s)(?=(.{{1,{BLOCK + WINDOW}}})).{{1,{BLOCK}}}', 1)"
+    labels = "size(q.live) > 0 and not q.wild"
     return F.expr(
         f"transform(array({clean}), t -> "
         f"transform(array(named_struct('low', {low}, 'digits', {digits})), q -> "
-        f"filter(array({rows}), h -> h.marked is not null))[0])[0]"
+        f"transform(array(named_struct('low', q.low, 'digits', q.digits, 'live', {live})), q -> "
+        f"transform(array(named_struct('low', q.low, 'digits', q.digits, 'live', q.live, "
+        f"'wild', size(q.live) > 0 and t rlike {_quoted(LONG_RUN)})), q -> "
+        f"named_struct('hits', filter(array({rows}), h -> h.marked is not null), 'live', q.live, "
+        f"'starts', case when {labels} then {starts} end, 'blocks', case when {labels} then {blocks} end)"
+        f")[0])[0])[0])[0]"
     )
 
 
+@built_once
+def _label_places(starts: str) -> Column:
+    """Where labels begin: (at, key), key being the next two letters."""
+    place = "struct<at:int,key:string>"
+
+    def placed(parts: Column) -> Column:
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 2, F.lit(2)),
+            lambda i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.get(parts, i + 1).alias("key")),
+        )
+        return running(
+            pairs, F.lit(0), lambda at, p: at + p.getField("gap"),
+            lambda at, p: F.array(F.struct((at + p.getField("gap")).alias("at"), p.getField("key").alias("key")).cast(place)), place,
+        )
+
+    found = F.when(F.contains(F.col(starts), F.lit(OPEN)), let(F.split(F.col(starts), f"[{OPEN}{CLOSE}]", -1), placed))
+    return F.coalesce(found, F.array().cast(f"array<{place}>"))
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join(map(_quoted, values))
+
+
+def _found_at_labels(chosen: list[tuple[int, str, float, str]], places: str, live: str, blocks: str) -> Column:
+    """The matches of the patterns with labels, in rule order and from left to right; one that begins before the end of the
+    one before it in its pattern is none."""
+    tries = []
+    for ord_, type_, confidence, pattern in chosen:
+        if not _has_label(pattern):
+            continue
+        two, one = regex.first_letters(pattern)
+        begins = " or ".join([f"x.key in ({_listed(two)})"] * bool(two) + [f"left(x.key, 1) in ({_listed(one)})"] * bool(one))
+        find = _quoted(regex.anchored(pattern))
+        at_place = (
+            f"transform(array(substring({blocks}[x.at div {BLOCK}], x.at % {BLOCK} + 1, {WINDOW})), w -> case when w rlike {find} then "
+            f"named_struct('ord', {ord_}, 'type', '{type_}', 'confidence', {confidence}D, 'first', x.at, "
+            f"'start', x.at + length(regexp_extract(w, {find}, 1)), 'value', regexp_extract(w, {find}, 2)) end)[0]"
+        )
+        tries.append(
+            f"case when array_contains({live}, {ord_}) then "
+            f"filter(transform(filter({places}, x -> {begins}), x -> {at_place}), m -> m is not null) else cast(array() as array<{FIND}>) end"
+        )
+    if not tries:
+        return F.array().cast(f"array<{FIND}>")
+    stop = "{m}.start + length({m}.value)"
+    meets = f"exists(sequence(1, size(s) - 1), i -> s[i].first < {stop.format(m='s[i - 1]')})"
+    free = (
+        f"aggregate(s, cast(named_struct('last', -1, 'out', array()) as struct<last:int,out:array<{FIND}>>), (acc, m) -> "
+        f"if(m.first < acc.last, acc, named_struct('last', {stop.format(m='m')}, 'out', concat(acc.out, array(m))))).out"
+    )
+    return F.expr(f"flatten(transform(array({', '.join(tries)}), s -> if(size(s) > 1 and {meets}, {free}, s)))")
+
+
 def _spans_of(hit: Column) -> Column:
     """Cut a marked text; the odd parts are the values."""
 
@@ -151,23 +233,37 @@ def _spans_of(hit: Column) -> Column:
 
 
 @built_once
-def _spans_in(hits: str, text: str) -> Column:
-    """The spans of all marked copies that pass the checksum of their type."""
+def _spans_in(hits: str, found_at_labels: str, text: str) -> Column:
+    """The spans of all marked copies and of all matches at labels that pass the checksum of their type, in rule order."""
     source = F.col(text)
-    found = F.filter(
-        F.flatten(F.transform(hits, _spans_of)),
-        lambda s: checks.passes_check(s.getField("type"), s.getField("value")),
-    )
+    nothing = F.array().cast(f"array<{SPAN}>")
+
+    def as_span(m: Column) -> Column:
+        fields = [m.getField("start").alias("start"), (m.getField("start") + F.length(m.getField("value"))).alias("end")]
+        fields += [m.getField(f).alias(f) for f in ("value", "type", "confidence")] + [F.lit("rule").alias("source"), m.getField("ord").alias("ord")]
+        return F.struct(*fields).cast(SPAN)
+
+    def keyed(s: Column) -> Column:
+        return F.struct(s.getField("ord").alias("ord"), s.getField("start").alias("start"), s.alias("span"))
+
+    def ordered(spans: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(spans, keyed)), lambda k: k.getField("span"))
+
+    scanned = F.flatten(F.transform(hits, _spans_of))
+    both = F.when(F.size(found_at_labels) > 0, ordered(F.concat(scanned, F.transform(found_at_labels, as_span)))).otherwise(scanned)
 
     def with_true_value(s: Column) -> Column:
         start = s.getField("start")
         return s.withField("value", F.substring(source, start + 1, s.getField("end") - start))
 
-    # Where the text held a mark of its own, the copies hold its stand-in.
-    marked_before = source.contains(OPEN) | source.contains(CLOSE)
-    spans = F.when(marked_before, F.transform(found, with_true_value)).otherwise(found)
-    nothing = F.array().cast(f"array<{SPAN}>")
-    return F.when(source.isNotNull(), F.when(F.size(hits) > 0, spans).otherwise(nothing)).otherwise(nothing)
+    def checked(spans: Column) -> Column:
+        passed = F.filter(spans, lambda s: checks.passes_check(s.getField("type"), s.getField("value")))
+        # Where the text held a mark of its own, the copies hold its stand-in.
+        marked_before = source.contains(OPEN) | source.contains(CLOSE)
+        return F.when(marked_before, F.transform(passed, with_true_value)).otherwise(passed)
+
+    some = (F.size(hits) > 0) | (F.size(found_at_labels) > 0)
+    return F.when(source.isNotNull() & some, let(both, checked)).otherwise(nothing)
 
 
 def with_rule_spans(
@@ -181,7 +277,12 @@ def with_rule_spans(
     if not chosen:
         return documents.withColumn("spans", F.array().cast(f"array<{SPAN}>"))
     marked = settled(documents, _hits=_hits(text, chosen))
-    return settled(marked, spans=_spans_in("_hits", text)).drop("_hits")
+    if not any(_has_label(rule[3]) for rule in chosen):
+        bare = settled(marked, _found=F.array().cast(f"array<{FIND}>"))
+        return settled(bare, spans=_spans_in("_hits.hits", "_found", text)).drop("_hits", "_found")
+    placed = settled(marked, _places=_label_places("_hits.starts"))
+    found = settled(placed, _found=_found_at_labels(chosen, "_places", "_hits.live", "_hits.blocks"))
+    return settled(found, spans=_spans_in("_hits.hits", "_found", text)).drop("_hits", "_places", "_found")
 
 
 def detect(
