@@ -1,11 +1,12 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 import plain
 from conftest import SF_SMALL
 from veilframe.functions import text as tx
-from veilframe.operators import joins, restore as r, tokens as t, validate as v
+from veilframe.operators import joins, restore as r, tokens as t, validate as v, validate as vd
 from veilframe.operators.detect import detect
 from veilframe.operators.resolve import resolve
 from veilframe.functions.types import ENTRY, SPAN
@@ -170,3 +171,40 @@ def test_gate(spark):
     assert passed.count() == 1
     row = held.first()
     assert row.validation.errors == ["Dato originale trapelato nel testo anonimizzato: 'Mario'"] and row.reason
+
+
+def test_leaks_by_signature(spark, monkeypatch):
+    """The signature finds what a search for each value finds, at ends of pieces and for values of all lengths."""
+    rng = random.Random(11)
+    letters = "ab é😀1"
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 120)))
+        values = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(25)] + [None]
+        values += [text[j:j + rng.randint(1, 12)] for j in range(0, len(text), 17)]
+        rows.append((i, text, [(f"[X_{n:03d}]", v) for n, v in enumerate(values)]))
+    rows += [(100, "", [("[X_001]", "a"), ("[X_002]", "")]), (101, "abc", []), (102, None, [("[X_001]", "a")])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, entries array<struct<token:string,value:string>>")
+    monkeypatch.setattr(vd, "FEW", -1)
+    monkeypatch.setattr(vd, "PIECE", 7)
+    got = {r.doc_id: r.leaks for r in docs.select("doc_id", vd.leaked_values(F.col("text"), F.col("entries")).alias("leaks")).collect()}
+    for i, text, entries in rows:
+        want = [v for _, v in entries if v is not None and text is not None and v in text]
+        assert (got[i] or []) == want, (text, entries)
+    mapping = docs.select((F.col("doc_id") % 2).alias("scope"), F.explode("entries").alias("e")).select("scope", "e.token", "e.value")
+    texts = docs.select("doc_id", (F.col("doc_id") % 2).alias("scope"), "text")
+    for most in (7, 20_000):
+        found = sorted(map(tuple, vd.leaks_of_table(texts, mapping, "scope", key="doc_id", text="text", most=most).collect()))
+        told = {(i % 2, v) for i, _, entries in rows for _, v in entries if v is not None}
+        assert found == sorted((i % 2, i, v) for i, text, _ in rows if text is not None for s, v in told if s == i % 2 and v in text)
+
+
+def test_leak_check_of_a_large_map_is_linear(spark):
+    """20,000 values against a text of a million characters."""
+    values = [f"Nome{i * 7919 % 1000003:07d}x" for i in range(20_000)]
+    text = " ".join(f"parola{i % 997} [PERSON_{i % 900:03d}]" for i in range(46_000)) + " ".join(values[::4000])
+    docs = spark.createDataFrame([(1, text, [("[X_001]", v) for v in values])], "doc_id int, text string, entries array<struct<token:string,value:string>>")
+    start = time.perf_counter()
+    leaks = docs.select(vd.leaked_values(F.col("text"), F.col("entries")).alias("leaks")).first().leaks
+    assert len(text) > 900_000 and leaks == values[::4000]
+    assert time.perf_counter() - start < 30

@@ -13,12 +13,12 @@ from .arrays import running
 FOUND = "struct<place:int,found:boolean,value:string>"
 
 
-def look_up(tokens: Column, entries: Column) -> Column:
-    """For each token, whether it is in the map (case ignored) and its value; later entries win."""
+def look_up(tokens: Column, entries: Column, any_case: bool = True) -> Column:
+    """For each token, whether it is in the map (case ignored by default) and its value; later entries win."""
 
     def keyed(key: Column, kind: int, place: Column, value: Column) -> Column:
         return F.struct(
-            F.upper(key).alias("key"),
+            (F.upper(key) if any_case else key).alias("key"),
             F.lit(kind).alias("kind"),
             place.alias("place"),
             value.alias("value"),

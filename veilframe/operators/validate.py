@@ -11,12 +11,85 @@ from ..functions.cached import built_once, column
 from ..functions.settle import settled
 
 
+# Up to so many characters times values, each value is searched for; beyond, the text gets a signature.
+FEW = 5_000_000
+GRAM = 4
+# Characters of text whose grams are held at once.
+PIECE = 1 << 16
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All stretches of so many characters, overlapping, by position."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+
+
+def _seen(text: Column, keys: Column) -> Column:
+    """Which of the keys (distinct, up to GRAM characters) stand in the text, with one pass over it for each length."""
+
+    def of_size(size: int):
+        return lambda key: F.length(key) == size
+
+    def in_piece(piece: Column) -> Column:
+        found = [
+            F.when(
+                F.exists(keys, of_size(size)), F.array_intersect(F.filter(keys, of_size(size)), _grams(piece, size))
+            ).otherwise(F.array().cast("array<string>"))
+            for size in range(1, GRAM + 1)
+        ]
+        return F.concat(*found)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(pieces, in_piece)))
+
+
+def _by_signature(text: Column, values: Column) -> Column:
+    """The values that stand in the text.  A value is searched for only if its first and its last gram are
+    among the text's; one that is itself no longer than a gram need not be."""
+
+    def ends(v: Column) -> Column:
+        return F.array(F.left(v, F.lit(GRAM)), F.right(v, F.lit(GRAM)))
+
+    def checked(asked: Column) -> Column:
+        seen = let(F.array_distinct(asked), lambda keys: _seen(text, keys))
+        known = F.transform(seen, lambda k: F.struct(k.alias("token"), F.lit(None).cast("string").alias("value")))
+        return let(look_up(asked, known, any_case=False), kept)
+
+    def kept(found: Column) -> Column:
+        def stands(v: Column, i: Column) -> Column:
+            both = F.get(found, 2 * i).getField("found") & F.get(found, 2 * i + 1).getField("found")
+            return (v == "") | (both & ((F.length(v) <= GRAM) | F.contains(text, v)))
+
+        return F.filter(values, stands)
+
+    return let(F.flatten(F.transform(values, ends)), checked)
+
+
 def leaked_values(anonymized: Column, entries: Column) -> Column:
     """Map values that are still in the text, case-sensitive."""
-    return F.transform(
-        F.filter(entries, lambda e: F.contains(anonymized, e.getField("value"))),
-        lambda e: e.getField("value"),
+
+    def search(values: Column) -> Column:
+        few = F.size(values).cast("bigint") * F.length(anonymized) <= FEW
+        return F.when(few, F.filter(values, lambda v: F.contains(anonymized, v))).otherwise(_by_signature(anonymized, values))
+
+    return let(F.transform(F.filter(entries, lambda e: e.getField("value").isNotNull()), lambda e: e.getField("value")), search)
+
+
+def leaks_of_table(
+    texts: DataFrame, mapping: DataFrame, *scope: str, key: str, text: str = "anonymized_text", most: int = fv.MAX_MAPPING_ENTRIES
+) -> DataFrame:
+    """Values of a mapping kept apart that stand in texts of their scope: scope, key, value, once each.
+
+    A scope's values are dealt into blocks of about ``most``, so no row holds all of a large scope; a text meets each
+    block of its scope.
+    """
+    values = mapping.where(F.col("value").isNotNull()).select(*scope, "value").distinct()
+    sizes = values.groupBy(*scope).agg(F.ceil(F.count("*") / most).alias("_blocks"))
+    blocks = values.join(sizes, [*scope]).groupBy(*scope, F.pmod(F.xxhash64("value"), "_blocks").alias("_block")).agg(
+        F.collect_list(F.struct(F.lit("").alias("token"), "value")).alias("_entries")
     )
+    met = texts.select(*scope, key, text).join(blocks, [*scope])
+    found = settled(met, _leaked=leaked_values(F.col(text), F.col("_entries")))
+    return found.select(*scope, key, F.explode("_leaked").alias("value"))
 
 
 def unknown_in(text: Column, entries: Column, known: bool = False) -> Column:
