@@ -127,11 +127,19 @@ def test_admission_stream_of_one_key_nulls_and_late_requests(spark, tmp_path):
 def test_session_expiry_stream(spark, tmp_path):
     made = lambda rows: spark.createDataFrame(rows, "session_id string, at bigint").select(
         "session_id", F.timestamp_micros(F.col("at") * 1000000).alias("created_at"), F.lit("v").alias("value"))
-    for i, rows in enumerate([[("s1", 100), ("s1", 100), ("s2", 105)], [("s3", 200)], [("s4", 400)]]):
+    parts = [
+        [("s1", 100), ("s1", 100), ("s2", 105), (None, 101)], [("s3", 200), ("old", 20), ("old", 20)], [("s2", 105), ("s1", 100), ("s3", 200)],
+        [("s4", 400), ("s3", 200), ("none", None)], [("s1", 100)], [("s5", 405), ("s4", 400)],
+    ]
+    for i, rows in enumerate(parts):
         made(rows).coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
     source = spark.readStream.schema(made([("x", 1)]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/p=*"))
-    got = run(streams.expire_stream(source, ttl_seconds=10), "expired", str(tmp_path / "c"))
-    assert {r.session_id: r.entity_count for r in got if r.session_id != "s4"} == {"s1": 2, "s2": 1, "s3": 1}
+    streams.expire_stream(source, str(tmp_path / "out"), str(tmp_path / "state"), ttl_seconds=10).awaitTermination()
+    got = {r.session_id: (r.entity_count, r.late_entries) for r in streams.read_expired(spark, str(tmp_path / "out")).collect()}
+    assert got == {"s1": (4, 2), "s2": (2, 1), "s3": (3, 0), "old": (2, 2), "none": (1, 1), None: (1, 0)}
+    held = spark.read.parquet(str(tmp_path / "state/held=5")).collect()
+    assert sorted((r.session_id, r.entity_count) for r in held) == [("s4", 2), ("s5", 1)]
+    assert sum(n for n, _ in got.values()) + sum(r.entity_count for r in held) == sum(map(len, parts))
 
 
 def test_process(spark):

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
 from ..operators.admission import admit
@@ -98,44 +96,58 @@ def read_admitted(spark: SparkSession, path: str) -> DataFrame:
 
 def expire_stream(
     mapping: DataFrame,
+    path: str,
+    state: str,
     ttl_seconds: int = fv.SESSION_TTL_SECONDS,
-    lateness: str = "0 seconds",
-) -> DataFrame:
-    """Sessions that ran out: (session_id, entity_count, expires_at), once each.
-
-    Input rows are mapping entries (session_id, created_at, ...).  The state of a session is
-    its number of entries and its expiry time, never the values.
+) -> StreamingQuery:
+    """Sessions that ran out, with their numbers of mapping entries; no entry is lost, however late.
+
+    Input rows are mapping entries (session_id, created_at, ...).  The stream's clock is the latest creation seen.
+    What is kept of an open session is its number of entries and its expiry time, never the values; that table
+    holds the sessions of the last ``ttl_seconds`` and is written anew with each micro-batch.  Sessions whose
+    expiry lies before the clock are reported and forgotten.  Entries that arrive after their session's expiry are
+    reported with the batch that brings them, marked as late, so the counts of a session's reports add up to
+    all of its entries (``read_expired``).  Entries without a creation time are reported at once; entries without a
+    session are one session.  A batch that is repeated overwrites its own folders.
     """
-    ttl = ttl_seconds * 1000
-
-    def follow(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            count, expires = state.get
-            state.remove()
-            yield pd.DataFrame(
-                {"session_id": [group[0]], "entity_count": [count],
-                 "expires_at": [pd.Timestamp(expires, unit="ms")]}
-            )
-            return
-        count, expires = state.get if state.exists else (0, 0)
-        for batch in batches:
-            count += len(batch)
-            expires = max(expires, int(batch["_created"].max()) + ttl)
-        state.update((count, expires))
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-
-    rows = mapping.select("session_id", F.col("created_at").cast("timestamp").alias("created_at"))
-    timed = rows.withWatermark("created_at", lateness)
+    if ttl_seconds <= 0:
+        raise ValueError("ttl_seconds must be positive")
+    ttl = F.expr(f"interval {int(ttl_seconds)} seconds")
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entries = batch.select("session_id", F.col("created_at").cast("timestamp").alias("created_at"))
+        sums = entries.groupBy("session_id").agg(F.count("*").alias("entity_count"), (F.max("created_at") + ttl).alias("expires_at"))
+        clocks = entries.agg(F.max("created_at").alias("clock"))
+        before = F.lit(None).cast("timestamp")
+        if batch_id:
+            sums = sums.unionByName(spark.read.schema(sums.schema).parquet(f"{state}/held={batch_id - 1}"))
+            sums = sums.groupBy("session_id").agg(F.sum("entity_count").alias("entity_count"), F.max("expires_at").alias("expires_at"))
+            last = spark.read.schema(clocks.schema).parquet(f"{state}/clock={batch_id - 1}")
+            before = F.lit(last.first()["clock"]).cast("timestamp")
+            clocks = clocks.unionByName(last).agg(F.max("clock").alias("clock"))
+        clocks.write.mode("overwrite").parquet(f"{state}/clock={batch_id}")
+        clock = F.lit(spark.read.schema(clocks.schema).parquet(f"{state}/clock={batch_id}").first()["clock"]).cast("timestamp")
+        gone = F.coalesce(F.col("expires_at") < clock, F.lit(True))
+        sums.withColumn("gone", gone).withColumn("late", F.coalesce(F.col("expires_at") < before, F.col("expires_at").isNull())).write.mode(
+            "overwrite"
+        ).parquet(f"{state}/decided={batch_id}")
+        decided = spark.read.parquet(f"{state}/decided={batch_id}")
+        decided.where("gone").drop("gone").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        decided.where("NOT gone").drop("gone", "late").write.mode("overwrite").parquet(f"{state}/held={batch_id}")
+
     return (
-        timed.withColumn("_created", F.unix_millis("created_at"))
-        .groupBy("session_id")
-        .applyInPandasWithState(
-            follow,
-            "session_id string, entity_count bigint, expires_at timestamp",
-            "entries bigint, expires bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        mapping.writeStream.foreachBatch(decide)
+        .option("checkpointLocation", f"{state}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_expired(spark: SparkSession, path: str) -> DataFrame:
+    """One row per session: session_id, entity_count, expires_at, late_entries."""
+    schema = "session_id string, entity_count bigint, expires_at timestamp, late boolean, batch int"
+    late = F.sum(F.when(F.col("late"), F.col("entity_count")).otherwise(0))
+    return spark.read.schema(schema).parquet(path).groupBy("session_id").agg(
+        F.sum("entity_count").alias("entity_count"), F.max("expires_at").alias("expires_at"), late.alias("late_entries")
     )
