@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checks, text as tx
 from ..functions.arrays import running
+from ..functions.hidden import with_keys
 from ..functions.settle import settled
 from ..functions.types import HIT
 from ..operators import admission, chunk, columns, outside, report, restore as rs, sessions
 from ..operators import tokens as tk, validate as vd
 from ..operators.detect import detect, explode_spans
 from ..sources import files, mapping as mp
+from ..sources.mapping_log import MappingLog
 from ..streaming import streams
 from . import flows
 from .forms import GATE_FIELDS, WEAK_FIELDS, forms
@@ -48,10 +50,14 @@ def _stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 
 
 def _stored_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Anonymised texts and the mapping, as two tables kept apart."""
-    texts = _anonymised(spark, folder).select("doc_id", "anonymized_text", "entity_map")
-    done = _stored(spark, texts, "anonymised")
-    return done.select("doc_id", "anonymized_text"), tk.mapping_table(done, "doc_id")
+    """Anonymised texts and the mapping, as two tables kept apart.  Values are on disk under a key that only
+    this session has."""
+    key = {"now": os.urandom(32)}
+    texts = _anonymised(spark, folder).select("doc_id", "anonymized_text", "entity_map", F.lit("now").alias("batch"))
+    sealed = F.transform("entity_map", lambda e: F.struct(e["token"].alias("token"), F.aes_encrypt(e["value"], F.col("_key")).alias("value")))
+    done = _stored(spark, with_keys(texts, key, "batch").select("doc_id", "anonymized_text", sealed.alias("entity_map"), "batch"), "anonymised")
+    mapping = with_keys(tk.mapping_table(done, "doc_id", "batch"), key, "batch")
+    return done.select("doc_id", "anonymized_text"), mapping.select("doc_id", "token", F.aes_decrypt("value", "_key").cast("string").alias("value"))
 
 
 # ---- detection ---------------------------------------------------------------------------
@@ -252,10 +258,38 @@ def token_mapping(spark, folder):
 
 
 def sealed_mapping(spark, folder):
-    """The mapping, saved under a passphrase and opened again."""
+    """The mapping, saved under a passphrase in two parts and opened under a new passphrase."""
     path = _scratch(spark, "mapping")
-    mp.save_mapping(token_mapping(spark, folder), path, "parola segreta")
-    return mp.load_mapping(spark, path, "parola segreta")
+    _, mapping = _stored_parts(spark, folder)
+    for part in (0, 1):
+        mp.save_mapping(mapping.where(F.col("doc_id") % 2 == part), path, "parola segreta", mode="append")
+    mp.change_passphrase(spark, path, "parola segreta", "altra parola")
+    return mp.load_mapping(spark, path, "altra parola")
+
+
+def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, MappingLog]:
+    """Anonymised texts, and their mapping in a sealed log of four versions: version k holds the documents
+    with doc_id % 4 of k - 1 and more, its values marked with k.  After the third the log is compacted."""
+    done, mapping = _stored_parts(spark, folder)
+    log = MappingLog(spark, _scratch(spark, "log"), "doc_id", buckets=8, passphrase="parola segreta")
+    for k in range(1, 5):
+        log.append(mapping.where(F.pmod("doc_id", F.lit(4)) >= k - 1).withColumn("value", F.concat("value", F.lit(f"#{k}"))))
+        if k == 3:
+            log.compact()
+    return done, log
+
+
+def mapping_versions(spark, folder):
+    """The mapping as of the second version and as of the last."""
+    _, log = _versions(spark, folder)
+    second = log.snapshot(2).withColumn("as_of", F.lit("second"))
+    return second.unionByName(log.snapshot().withColumn("as_of", F.lit("last")))
+
+
+def restore_from_log(spark, folder):
+    """Texts restored from the latest values in the log."""
+    done, log = _versions(spark, folder)
+    return log.restored(done.withColumnRenamed("anonymized_text", "response"), "doc_id").select("doc_id", "rehydrated_text")
 
 
 def merged_mapping(spark, folder):
@@ -319,6 +353,14 @@ def leak_check(spark, folder):
     )
 
 
+def table_leaks(spark, folder):
+    """Values replaced in any document of a language that stand in clear in a document of that language, looked
+    for in the original texts with the mapping kept apart."""
+    done = _stored(spark, flows.anonymise_only(documents(spark, folder, "doc_id", "lang", "text")).select("lang", "entity_map"), "mapped")
+    texts = documents(spark, folder, "doc_id", "lang", "text")
+    return vd.leaks_of_table(texts, tk.mapping_table(done, "lang"), "lang", key="doc_id", text="text")
+
+
 def gate_report(spark, folder):
     """How many texts may be sent on, by language."""
     done = flows.anonymise_only(documents(spark, folder, "lang", "text"))
@@ -486,6 +528,26 @@ def session_counts(spark, folder):
     return gone.unionByName(active.select(F.lit("active").alias("sessions"), F.col("active").alias("n")))
 
 
+def session_expiry_stream(spark, folder):
+    """A session per user and day, opened by its first event; entries arrive in four parts whose times
+    overlap, so most of them come after their session has been reported."""
+    events = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+    opened = events.groupBy("user_id", "day").agg(F.min("ts").alias("created_at"))
+    entries = _stored(spark, events.join(opened, ["user_id", "day"]).select(
+        F.concat_ws("/", "user_id", "day").alias("session_id"), "created_at", (F.col("event_id") % 4).alias("part")
+    ), "entries")
+    arrivals, files_each = _scratch(spark, "arrivals"), spark.sparkContext.defaultParallelism
+    for part in range(4):
+        entries.where(F.col("part") == part).drop("part").repartition(files_each).write.parquet(f"{arrivals}/part={part}")
+    source = spark.readStream.schema(entries.drop("part").schema).option("maxFilesPerTrigger", files_each).parquet(f"{arrivals}/part=*")
+    out, state = _scratch(spark, "expired"), _scratch(spark, "state")
+    streams.expire_stream(source, out, state, 7 * DAY).awaitTermination()
+    parts = F.split("session_id", "/")
+    return streams.read_expired(spark, out).select(
+        parts[0].cast("bigint").alias("user_id"), parts[1].alias("day"), "entity_count", F.unix_seconds("expires_at").alias("expires_at")
+    )
+
+
 def admission_of_events(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts")
     done = admission.admit(events, "user_id", "ts", "event_id", 3, DAY)
@@ -521,11 +583,11 @@ QUERIES = {
         entity_stats, email_by_lang, ip_spans, card_luhn, url_in_pages, page_addresses,
         bic_in_conversations, date_spans, amount_spans, phone_and_ids, checksum_candidates,
         silent_docs, size_guard, dry_run, batch_report, source_stats, boosted_spans,
-        recogniser_clean_up, anonymized_text, token_mapping, sealed_mapping, merged_mapping,
+        recogniser_clean_up, anonymized_text, token_mapping, sealed_mapping, merged_mapping, mapping_versions, restore_from_log,
         highlighted_text, redacted_text, restore_roundtrip, restore_from_table, unknown_tokens,
-        leftover_tokens, leak_check, gate_report, chunks, chunk_prompts, processed,
+        leftover_tokens, leak_check, table_leaks, gate_report, chunks, chunk_prompts, processed,
         column_classification, row_serialize, json_flatten, file_documents, normalised_text,
-        safe_paths, session_ttl, session_counts, admission_of_events, stream_anonymise,
+        safe_paths, session_ttl, session_counts, session_expiry_stream, admission_of_events, stream_anonymise,
         stream_admission,
     ]
 }
