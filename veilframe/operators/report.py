@@ -35,6 +35,12 @@ def source_stats(spans: DataFrame) -> DataFrame:
     return counted.withColumn("percent", _share("n")).orderBy(F.desc("n"), "source")
 
 
+def in_order(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows of a report with their ``place`` from 1: files by path, types by name.  For reports, which have one row per
+    file, type or source; the numbering is one task's work."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def entity_type_counts(entities: Column) -> Column:
     """Entities of one document as an array of (type, n), by type."""
     types = F.transform(entities, lambda e: e.getField("type"))

@@ -14,7 +14,7 @@ from ..functions.types import HIT
 from ..operators import admission, chunk, columns, outside, report, restore as rs, sessions
 from ..operators import tokens as tk, validate as vd
 from ..operators.detect import detect, explode_spans
-from ..sources import files, mapping as mp
+from ..sources import files, mapping as mp, sinks
 from ..sources.mapping_log import MappingLog
 from ..streaming import streams
 from . import flows
@@ -220,6 +220,48 @@ def boosted_spans(spark, folder):
     )
 
 
+def ranked_types(spark, folder):
+    """The report by type in its order."""
+    stats = report.type_stats(explode_spans(detect(documents(spark, folder)), "doc_id"))
+    return report.in_order(stats, "type").select(*_long("place"), "type", "n")
+
+
+def rejected_hits(spark, folder):
+    """Hits of recognisers on every e-mail, card number and IP address: a quarter agree with the rules, the others are too weak,
+    of a type that was not asked for, or have an unknown label."""
+    docs = documents(spark, folder)
+    kind = F.pmod(F.col("start") + F.col("doc_id"), F.lit(4))
+    label = F.when(F.col("type") == "EMAIL", "EMAIL_ADDRESS").when(F.col("type") == "CARD", "CREDIT_CARD").otherwise("IP_ADDRESS")
+    hits = explode_spans(detect(docs, threshold=0.75, types=["EMAIL", "CARD", "IP"]), "doc_id").select(
+        "doc_id", F.when(kind == 2, "gliner").when(kind == 3, "spacy").otherwise("presidio").alias("engine"),
+        F.when(kind == 2, "organization").when(kind == 3, "UNKNOWN").otherwise(label).alias("label"), "start", "end",
+        F.when(kind == 1, 0.3).when(kind == 2, 0.9).otherwise(0.8).alias("score"), F.lit(0).alias("place"),
+    )
+    found = outside.detect_with_hits(outside.attach_hits(docs, _stored(spark, hits, "hits")), threshold=0.75, types="email, CARD ,IP_ADDRESS,ip")
+    spans = explode_spans(found, "doc_id")
+    return spans.select("doc_id", *_long("start", "end"), "value", "type", tx.rounded(F.col("confidence"), 3).alias("confidence"), "source")
+
+
+def long_links(spark, folder):
+    """Links longer than reports show, one per document, made of its first words."""
+    slug = F.regexp_replace(F.left("text", F.lit(150)), "[^A-Za-z0-9]+", "-")
+    links = documents(spark, folder).select("doc_id", F.concat(F.lit("Vedi https://docs.example/"), slug).alias("text"))
+    listed = report.dry_run(explode_spans(detect(links, types=["URL"]), "doc_id"), "doc_id")
+    return listed.select("doc_id", "value", "shown", *_long("start", "end"))
+
+
+def size_limits(spark, folder):
+    """Texts that are empty, too long or neither, by language, and scopes with too many mapping entries."""
+    repeated = F.repeat("text", F.ceil(F.lit(100_001) / F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    kind = F.pmod("doc_id", F.lit(5))
+    docs = documents(spark, folder, "doc_id", "lang", "text")
+    sized = docs.withColumn("text", F.when(kind == 0, repeated).when(kind == 1, "").when(kind == 2, F.lit(None)).otherwise(F.col("text")))
+    texts = report.size_guard(sized).groupBy(F.col("lang").alias("scope"), "refused").agg(F.count("*").alias("n"))
+    entries = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("scope"), F.lit("").alias("token"))
+    large = report.mapping_guard(entries, "scope").select("scope", F.lit("too many entries").alias("refused"), F.col("entries").alias("n"))
+    return texts.unionByName(large)
+
+
 def recogniser_clean_up(spark, folder):
     """All pairs of neighbouring words of conversations as if a recogniser had called them names."""
     turns = spread(
@@ -482,6 +524,53 @@ def file_documents(spark, folder):
     return read.select("source", "text", F.col("metadata.type").alias("format"), "error")
 
 
+def upload_report(spark, folder):
+    """Documents as uploads: good ones, too large ones, empty ones, ones without content, wrong and missing suffixes."""
+    kind = F.pmod("doc_id", F.lit(6))
+    suffix = F.when(kind == 1, ".TXT").when(kind == 2, ".exe").when(kind == 5, "").otherwise(".txt")
+    content = F.when(kind == 3, F.encode(F.lit(""), "UTF-8")).when(kind != 4, F.encode("text", "UTF-8"))
+    uploads = documents(spark, folder).select(F.concat("doc_id", suffix).alias("filename"), content.alias("content"))
+    return files.upload_documents(uploads, most_bytes=4000).select("source", "text", "error")
+
+
+def folder_report(spark, folder):
+    """Documents as text files, one per language and source, beside files of another kind: entities per file, files in
+    order of their paths."""
+    path = _scratch(spark, "folder")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    dealt = docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("lang", "source").text(path)
+    docs.write.mode("append").partitionBy("lang", "source").parquet(path)
+    read = spread(files.file_documents(files.read_files(spark, f"{path}/*/*")))
+    found = detect(read, threshold=0.75, types=["EMAIL", "CARD", "IP"])
+    counted = report.batch_report(found, "source")
+    name = F.regexp_extract("source", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1)
+    return report.in_order(counted, "source").select(*_long("place", "documents", "entities"), "summary", name.alias("file"))
+
+
+def written_results(spark, folder):
+    """Anonymised texts and their entities, written as files with a manifest and as JSON, read back and checked."""
+    done = _anonymised(spark, folder).withColumn("source", F.concat(F.lit("in/"), F.floor(F.col("doc_id") / 2).cast("string"), F.when(
+        F.col("doc_id") % 2 == 0, ".txt").otherwise(".csv")))
+    out = _scratch(spark, "results")
+    sinks.write_results(done, out)
+    sinks.write_json(done.select("source", F.size("entities").alias("entities")), f"{out}/json")
+    told = spark.read.schema("source string, entities bigint").json(f"{out}/json")
+    return sinks.read_results(spark, out).join(told, "source").select("source", "file", "anonymized_text", "ok", "entities")
+
+
+def safe_outputs(spark, folder):
+    """What may leave the system: entities without their values; and the map for clients that keep it."""
+    done = _anonymised(spark, folder)
+    public = flows.public_output(done, "doc_id")
+    shown = F.transform("entities", lambda e: F.format_string("%s:%d-%d:%.3f", e["type"], e["start"], e["end"], e["confidence"]))
+    held = flows.stateless_output(done, "doc_id").select("doc_id", F.size("mapping").alias("mapping_size"))
+    return public.join(held, "doc_id").select(
+        "doc_id", *_long("entity_count", "mapping_size"), F.array_join(shown, " ").alias("payload"),
+        F.lit(",".join(f.name for f in public.schema["entities"].dataType.elementType.fields)).alias("fields"),
+    )
+
+
 def normalised_text(spark, folder):
     """Documents in decomposed spelling (a letter and a mark for ü and é), normalised again."""
     docs = documents(spark, folder)
@@ -586,6 +675,7 @@ QUERIES = {
         recogniser_clean_up, anonymized_text, token_mapping, sealed_mapping, merged_mapping, mapping_versions, restore_from_log,
         highlighted_text, redacted_text, restore_roundtrip, restore_from_table, unknown_tokens,
         leftover_tokens, leak_check, table_leaks, gate_report, chunks, chunk_prompts, processed,
+        ranked_types, rejected_hits, long_links, size_limits, upload_report, folder_report, written_results, safe_outputs,
         column_classification, row_serialize, json_flatten, file_documents, normalised_text,
         safe_paths, session_ttl, session_counts, session_expiry_stream, admission_of_events, stream_anonymise,
         stream_admission,

@@ -176,10 +176,10 @@ def file_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def upload_documents(uploads: DataFrame) -> DataFrame:
+def upload_documents(uploads: DataFrame, most_bytes: int = fv.MAX_UPLOAD_BYTES) -> DataFrame:
     """Uploads (filename, content) within the size limit; others keep a row with an error."""
     size = F.coalesce(F.length("content"), F.lit(0))
-    refusal = F.when(size > fv.MAX_UPLOAD_BYTES, "too large").when(size == 0, "empty")
+    refusal = F.when(size > most_bytes, "too large").when(size == 0, "empty")
     checked = uploads.withColumn("refusal", refusal)
     good = file_documents(checked.where(F.col("refusal").isNull()))
     bad = checked.where(F.col("refusal").isNotNull())
