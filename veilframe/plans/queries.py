@@ -106,21 +106,19 @@ def bic_in_conversations(spark, folder):
 
 
 def date_spans(spark, folder):
-    """Dates in orders written out as text, one document per row."""
+    """Dates in orders written out as text with all their columns, one document per row."""
     orders = table(spark, folder, "orders")
     dated = orders.withColumn("o_orderdate", F.date_format("o_orderdate", "dd/MM/yyyy"))
-    rows = files.serialised_rows(dated, "o_custkey", "o_orderdate", keep=("o_orderkey",))
+    rows = files.serialised_rows(dated, keep=("o_orderkey",))
     return _spans(spread(rows), "o_orderkey", EXACT, ["DATE"])
 
 
 def amount_spans(spark, folder):
-    """Labelled amounts in orders written out as text; the value has three digits at most
+    """Labelled amounts in orders written out as text with all their columns; the value has three digits at most
     before a separator, so a longer number is cut."""
-    orders = table(spark, folder, "orders").select(
-        "o_orderkey",
-        F.concat(F.lit("Importo: "), F.floor("o_totalprice").cast("string")).alias("text"),
-    )
-    return _spans(spread(orders), "o_orderkey", 0.8, ["AMOUNT"])
+    orders = table(spark, folder, "orders")
+    rows = files.serialised_rows(orders.withColumnRenamed("o_totalprice", "importo"), keep=("o_orderkey",))
+    return _spans(spread(rows), "o_orderkey", 0.8, ["AMOUNT"])
 
 
 def phone_and_ids(spark, folder):
