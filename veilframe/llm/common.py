@@ -48,6 +48,19 @@ def only(rows: DataFrame, **names: str) -> DataFrame:
     return rows.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
 
 
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as a struct `row`, and further columns, whose names cannot clash with those in it."""
+    return rows.select(F.struct(*map(named, rows.columns)).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a column of strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

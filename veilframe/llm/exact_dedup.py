@@ -12,15 +12,15 @@ last one; text without such letters is cut at 8,192.  Where the cuts lie decides
 never the result.
 
 Cases: empty texts are equal to each other; a null doc_id stays a row and sorts last among equals;
-repeated rows count each and get the same answer; an empty table gives an empty result; other columns
-are not read.
+repeated rows count each, and one of them stays if their text does; an empty table gives an empty result; other
+columns, whatever their names, are kept by `deduplicated` and not read otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, only, sha256_of, stored, table
+from .common import WHITE, only, packed, sha256_of, stored, table, unpacked
 
 CHUNK = r"(?s).{512,8191}?(?:[aeou][lnrst][aehi]|\z)|.{1,8192}"
 
@@ -35,11 +35,16 @@ def normalised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select("doc_id", F.length(whole).cast("long").alias("n_chars"), F.regexp_replace(whole, WHITE, "").alias("norm"))
 
 
+def _identifiers(norm: Column) -> Column:
+    return F.transform(chunks(norm), lambda c: F.unhex(sha256_of(c)))
+
+
 def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars of the original, text_sha256 of the normalised text, recipe."""
+    """place (a number for each row), doc_id, n_chars of the original, text_sha256 of the normalised text, recipe."""
     rows = normalised(docs, key, text)
-    identifiers = F.transform(chunks(F.col("norm")), lambda c: F.unhex(sha256_of(c)))
-    return rows.select("doc_id", "n_chars", sha256_of(F.col("norm")).alias("text_sha256"), identifiers.alias("recipe"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("place"), "doc_id", "n_chars", sha256_of(F.col("norm")).alias("text_sha256"), _identifiers(F.col("norm")).alias("recipe")
+    )
 
 
 def chunk_store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,38 +53,37 @@ def chunk_store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return contents.groupBy(F.unhex(sha256_of(F.col("content"))).alias("identifier")).agg(F.count("*").alias("contents"))
 
 
+def _best(listed: DataFrame, contents: DataFrame) -> DataFrame:
+    """Of rows place, doc_id, n_chars, recipe: per recipe the best row and group_size.  Fails if two chunk contents
+    share an identifier."""
+    doubtful = contents.where("contents > 1").agg(F.count("*").alias("n")).scalar()
+    checked = F.assert_true(doubtful == 0, F.lit("two chunk contents share an identifier"))
+    order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))
+    groups = listed.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    return groups.select("recipe", "best.doc_id", "best.place", "group_size", checked.alias("checked")).where(F.col("checked").isNull()).drop("checked")
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; kept marks the rows with the
-    id that stays, `deduplicated` keeps one row of them.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the one with the most characters in the original stays, then the smallest
-    doc_id.  Fails if two chunk contents share an identifier.
+    Of equal texts one row stays: the one with the most characters in the original, then the smallest
+    doc_id, nulls last, then any one.
     """
-    doubtful = chunk_store(docs, key, text).where("contents > 1").agg(F.count("*").alias("n")).scalar()
     listed = stored(recipes(docs, key, text), "recipes")
-    checked = F.assert_true(doubtful == 0, F.lit("two chunk contents share an identifier"))
-    order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = listed.groupBy("recipe").agg(
-        F.min(order).alias("best"), F.count("*").alias("group_size")
-    ).select("recipe", F.col("best.doc_id").alias("keep_id"), "group_size", checked.alias("checked"))
-    return listed.join(groups, "recipe").where(F.col("checked").isNull()).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    groups = _best(listed, chunk_store(docs, key, text)).withColumnsRenamed({"doc_id": "keep_id", "place": "keep_place"})
+    return listed.join(groups, "recipe").select(
+        "doc_id", "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"), "text_sha256"
     )
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with all its columns: the one with the most characters, then
-    the smallest doc_id, nulls last, then any one.  Rows are told apart by a number in a stored copy."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    doubtful = chunk_store(rows, key, text).where("contents > 1").agg(F.count("*").alias("n")).scalar()
-    norm = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), WHITE, "")
-    identifiers = F.transform(chunks(norm), lambda c: F.unhex(sha256_of(c)))
-    id_ = F.col(f"`{key}`")
-    order = F.struct(-F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))), id_.isNull(), id_.alias("id"), F.col("_row").alias("_row"))
-    checked = F.assert_true(doubtful == 0, F.lit("two chunk contents share an identifier"))
-    best = rows.select(identifiers.alias("recipe"), order.alias("order")).groupBy("recipe").agg(F.min("order").alias("best"))
-    keep = best.select(F.col("best._row").alias("_row"), checked.alias("checked")).where(F.col("checked").isNull()).select("_row")
-    return rows.join(keep, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The row of each group of equal texts that stays, with all its columns.  Rows are told apart by a number in
+    a stored copy."""
+    rows = stored(packed(docs, place=F.monotonically_increasing_id()), "rows")
+    texts = rows.select("place", F.col("row").getField(key).alias("doc_id"), F.coalesce(F.col("row").getField(text), F.lit("")).alias("text"))
+    listed = texts.select("place", "doc_id", F.length("text").alias("n_chars"), _identifiers(F.regexp_replace("text", WHITE, "")).alias("recipe"))
+    keep = _best(listed, chunk_store(texts))
+    return unpacked(rows.join(keep.select("place"), "place", "left_semi"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,6 +93,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) keep_id,
+  row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) place,
   count(*) OVER (PARTITION BY norm) group_size FROM t)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
 """

@@ -15,8 +15,8 @@ is stored and joined back as Spark's size limits allow, broadcast or sorted.  Te
 
 Cases: null text is empty, a null host or path is a group of its own; a null doc_id is a row like others;
 repeated rows are judged alike; without labels of both classes all evidence is the share of good labels
-(one half without any); an empty table gives an empty result; other columns are kept by `accepted` and
-not read otherwise.
+(one half without any); an empty table gives an empty result; other columns, whatever their names, are kept by
+`accepted` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import only, stored, table
+from .common import named, only, packed, stored, table, unpacked
 from .labelled import SAMPLE, logistic, training_rows
 
 WORD = r"[\x20\x09-\x0D]+"
@@ -101,34 +101,28 @@ def _logit(p: Column) -> Column:
 
 def _posterior(mean: float, weight: float) -> Column:
     """The document's probability with its path's rate, its own evidence left out of that."""
-    p, b = F.col("_evidence"), F.col("_strength")
-    rest = (b * F.col("_host_rate") + F.greatest(F.col("_s") - p, F.lit(0.0))) / (b + F.col("_n") - 1)
+    p, b = F.col("evidence"), F.col("strength")
+    rest = (b * F.col("host_rate") + F.greatest(F.col("s") - p, F.lit(0.0))) / (b + F.col("n") - 1)
     return 1 / (1 + F.exp(-(_logit(p) + weight * (_logit(rest) - math.log(mean / (1 - mean))))))
 
 
 def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", weight: float = 0.5, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """All columns of docs and _evidence, _host_rate, _path_rate, _quality, _kept."""
+    """row, a struct of all columns of docs, and evidence, host_rate, path_rate, quality, kept."""
     weights = fit(docs, labels, sample=sample)
-    rows = docs.withColumn("_evidence", evidence(F.col("text"), weights))
-    sites, mean = site_rates(stored(rows.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col("_evidence").alias("evidence")), "evidence"))
-    found = rows.join(
-        sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns]),
-        F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")),
-    )
-    return found.withColumn("_quality", _posterior(mean, weight)).withColumn("_kept", F.col("_quality") >= threshold).drop(
-        "_host", "_path", "_n", "_s", "_strength"
-    )
+    rows = packed(docs, host=named(host), path=named(path), evidence=evidence(named("text"), weights))
+    sites, mean = site_rates(stored(rows.select("host", "path", "evidence"), "evidence"))
+    sites = sites.select(F.col("host").alias("at_host"), F.col("path").alias("at_path"), "n", "s", "host_rate", "path_rate", "strength")
+    found = rows.join(sites, F.col("host").eqNullSafe(F.col("at_host")) & F.col("path").eqNullSafe(F.col("at_path")))
+    return found.withColumn("quality", _posterior(mean, weight)).select(
+        "row", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return judged(docs, labels, **how).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(judged(docs, labels, **how).where("kept"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     found = judged(docs, table(spark, folder, "labels"))
-    return found.select(
-        "doc_id", "source", "lang", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"),
-        F.col("_path_rate").alias("path_rate"), F.col("_quality").alias("quality"), F.col("_kept").alias("kept"),
-    )
+    return found.select("row.doc_id", "row.source", "row.lang", "evidence", "host_rate", "path_rate", "quality", "kept")
