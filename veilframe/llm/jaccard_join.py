@@ -14,8 +14,8 @@ from the numbers of sets by size (up to 64) and the subsets and list entries the
 Equal sets become one before anything is joined.  In a list of up to 8 members all pairs in reach are
 compared.  In a longer one every member is first compared with the most central one (the one whose other elements
 are listed most); lists whose members are then in one component are finished, so a large group of near copies
-costs one comparison for each.  For the others all pairs of members in different components are compared that can reach the overlap by size, by place in the
-lists and by the difference of their parity bitmaps; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.
+costs one comparison for each.  For the others all pairs of members in different components are compared that can reach the overlap by size, by their places in the
+list (the meeting counts where it can be the pair's first) and by the difference of their parity bitmaps of 256 and 1,024 bits; lists longer than `block` are cut into blocks for that.  No cap is set on lists or partners.
 Pairs of larger sets must also agree by bitmaps of a bit or two for each element before their sets move.  Comparisons are on whole sets of 64-bit shingle
 hashes.
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import hashing as hs
-from .common import only, stored, table, text_buffers
+from .common import only, packed, stored, table, text_buffers, unpacked
 from .components import components
 
 CELLS, PART = 1 << 20, 1 << 11
@@ -51,8 +51,9 @@ LIST_COST = 4.0  # of one entry of an inverted list, in subsets
 BITS = [f"b{i}" for i in range(4)]
 BOUNDED = 1000  # entries of a list, beside 4 / 2^20 of all elements, that one shuffle may bring together
 NARROW = 256  # bits of BITS; larger sets have a bitmap of their own size as well
+WIDE = [f"w{i}" for i in range(16)]  # of sets larger than NARROW, where lists are compared member by member
 ID_BITS = 1 << 24
-SETS = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{b} long" for b in BITS) + ", odd binary, cold int, prefix array<long>, subsets array<struct<key:long,side:int>>"
+SETS = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{b} long" for b in BITS + WIDE) + ", odd binary, cold int, prefix array<long>, subsets array<struct<key:long,side:int>>"
 
 
 def overlap(s: int, t: int, p: int) -> int:
@@ -148,9 +149,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, p: int, boundary: int, cell
             d1 = int(mixed.sum(dtype=np.uint64).view(np.int64))
             d2 = int(hs.mixed(mixed ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
             odd = _parities(mixed, 1 << (n - 1).bit_length()).tobytes() if n > NARROW else None
-            rows.append((ids[d], n, d1, d2, *_parities(mixed, NARROW).view(np.int64).tolist(), odd, cold, prefix, subsets))
-        kinds = [pa.int64()] * (4 + len(BITS)) + [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
-        names = ["doc_id", "n", "d1", "d2", *BITS, "odd", "cold", "prefix", "subsets"]
+            wide = _parities(mixed, 64 * len(WIDE)).view(np.int64).tolist() if n > NARROW else [0] * len(WIDE)
+            rows.append((ids[d], n, d1, d2, *_parities(mixed, NARROW).view(np.int64).tolist(), *wide, odd, cold, prefix, subsets))
+        kinds = [pa.int64()] * (4 + len(BITS + WIDE)) + [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("side", pa.int32())]))]
+        names = ["doc_id", "n", "d1", "d2", *BITS, *WIDE, "odd", "cold", "prefix", "subsets"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
 
@@ -179,20 +181,25 @@ def _needed(p: int) -> Column:
 
 
 def _in_reach(p: int) -> Column:
-    """Whether sets of sizes an and bn that meet at places ap and bp of their orders can reach the
-    overlap: by size, and by what is left after the places."""
-    s, t = F.col("an"), F.col("bn")
-    most = F.least("ap", "bp") + F.least(s - F.col("ap"), t - F.col("bp"))
-    return (100 * F.least(s, t) >= p * F.greatest(s, t)) & (most >= _needed(p))
+    """Whether sets of sizes an and bn that meet at places ap and bp of their orders can reach the overlap with this
+    as their first common element: by size, and as the overlap must lie at and after both places.  Similar sets
+    have a first common element, so each of their pairs is in reach at one token at least."""
+    s, t, c = F.col("an"), F.col("bn"), _needed(p)
+    return (100 * F.least(s, t) >= p * F.greatest(s, t)) & (s - F.col("ap") >= c) & (t - F.col("bp") >= c)
 
 
-def _near(p: int) -> Column:
+def _near(p: int, bits: list[str] = BITS) -> Column:
     """Whether the bitmaps allow it.  A bit holds the parity of the elements that fall on it, so the
     sets differ by as many elements as bits differ at least."""
-    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in bits), F.lit(0))
     return differ <= F.col("an") + F.col("bn") - 2 * _needed(p)
 
 
+def _near_wide(p: int) -> Column:
+    """The same with the wide bitmaps, which only sets larger than NARROW have."""
+    return (F.least("an", "bn") <= NARROW) | _near(p, WIDE)
+
+
 def _facts(classes: DataFrame, x: str) -> DataFrame:
     return classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
 
@@ -266,7 +273,7 @@ def similar_components(docs: DataFrame, k: int = 3, p: int = 90, key: str = "doc
 
     classes = stored(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"),
-        F.first("odd").alias("odd"), F.first("cold").alias("cold"), *[F.first(b).alias(b) for b in BITS]
+        F.first("odd").alias("odd"), F.first("cold").alias("cold"), *[F.first(b).alias(b) for b in BITS + WIDE]
     ), "classes")
     links = _light(classes).unionByName(_heavy(rows, classes, k, p, block))
     # A document id can stand on several rows, with several sets.
@@ -319,26 +326,26 @@ def _heavy(rows: DataFrame, classes: DataFrame, k: int, p: int, block: int) -> D
     labelled = stored(long_.drop("m").join(components(links), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", part), "labelled")
     open_ = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("m")).where("low < high")
     open_ = open_.select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rest = stored(labelled.join(open_, "token").join(classes.select("rep", *BITS), "rep"), "open")
+    rest = stored(labelled.join(open_, "token").join(classes.select("rep", *BITS, *WIDE), "rep"), "open")
 
     def marked(x: str, i: Column) -> DataFrame:
-        return side(rest, x, i.alias("i"), F.col("part").alias(f"{x}part"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
+        return side(rest, x, i.alias("i"), F.col("part").alias(f"{x}part"), *[F.col(b).alias(f"{x}_{b}") for b in BITS + WIDE])
 
     left = marked("a", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     right = marked("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _in_reach(p) & _near(p))
+    others = left.join(right, ["token", "i"]).where((F.col("apart") < F.col("bpart")) & _in_reach(p) & _near(p) & _near_wide(p))
     return links.unionByName(_verified(others.select("a", "b"), rows, classes, k, p))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, p: int = 90) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest doc_id, nulls last, then
     any one.  Rows are told apart by a number in a stored copy, so repeated and null ids are linked row by row."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = similar_components(rows, k, p, "_row", text).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
-    id_ = F.col(f"`{key}`")
-    order = F.struct(id_.isNull(), id_.alias("id"), F.col("_row").alias("_row"))
-    keep = rows.select("_row", order.alias("order")).join(found, "_row").groupBy("_part").agg(F.min("order").alias("best"))
-    return rows.join(keep.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(packed(docs, place=F.monotonically_increasing_id()), "rows")
+    texts = rows.select("place", F.col("row").getField(text).alias("text"))
+    found = similar_components(texts, k, p, "place").select(F.col("doc_id").alias("place"), F.col("component_id").alias("part"))
+    id_ = F.col("row").getField(key)
+    keep = rows.select("place", F.struct(id_.isNull(), id_.alias("id"), "place").alias("order")).join(found, "place").groupBy("part").agg(F.min("order").alias("best"))
+    return unpacked(rows.join(keep.select("best.place"), "place", "left_semi"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
