@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import mixing, quality, topk, warc
-from veilframe.llm.common import shared_folder
+from veilframe.llm.common import shared_folder, stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -169,11 +169,95 @@ def test_skewed_sources_meet_their_targets(spark):
     assert abs(kept[True] / sum(kept.values()) - want) < 0.025
 
 
-def test_targets_that_cannot_be_met_are_an_error(spark):
+def nearest(tokens, shares, rounds=2000):
+    """Weights by numpy: coordinate steps on the divergence from the tokens plus the marginals' from the targets."""
+    factors, total = [np.ones(n) for n in tokens.shape], tokens.sum()
+    for _ in range(rounds):
+        for axis in range(tokens.ndim):
+            x = tokens.astype(float)
+            for other in range(tokens.ndim):
+                if other != axis:
+                    shape = [1] * tokens.ndim
+                    shape[other] = -1
+                    x = x * factors[other].reshape(shape)
+            factors[axis] = np.sqrt(np.array(shares[axis]) * total / x.sum(axis=tuple(a for a in range(tokens.ndim) if a != axis)))
+    x = tokens.astype(float)
+    for axis, f in enumerate(factors):
+        shape = [1] * tokens.ndim
+        shape[axis] = -1
+        x = x * f.reshape(shape)
+    return x * total / x.sum()
+
+
+def test_monolingual_sources(spark):
+    """No weights meet the default targets; the answer is the nearest, and a sample is drawn."""
+    words = " ".join("word" for _ in range(50))
+    rows = [(i, words, "en" if i % 4 else "de", "s1" if i % 4 else "s2") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {(r["source"], r["lang"]): r["weight"] for r in mixing.probabilities(docs).collect()}
+    tokens = np.zeros((2, 2, 1))
+    tokens[0, 0], tokens[1, 1] = 300 * 50, 100 * 50
+    share = lambda power: np.array([15000.0, 5000.0]) ** power / (np.array([15000.0, 5000.0]) ** power).sum()
+    want = nearest(tokens, [share(0.8), share(0.9), [1.0]])
+    assert got["s1", "en"] == pytest.approx(want[0, 0, 0] / 15000, rel=1e-3) and got["s2", "de"] == pytest.approx(want[1, 1, 0] / 5000, rel=1e-3)
+    kept = mixing.drawn(docs).where("kept").groupBy("source").count().collect()
+    assert {r["source"] for r in kept} == {"s1", "s2"}
+
+
+def test_a_tiny_source_does_not_rule_the_sample(spark):
+    text = " ".join("w" for _ in range(100))
+    rows = [(i, text, "en", f"s{i % 3}") for i in range(3000)] + [(5000, "few words", "en", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = {r["source"]: r for r in mixing.probabilities(docs).where("topic = 'short'").collect()}
+    assert cells["tiny"]["probability"] == 1.0 and cells["tiny"]["weight"] > 3 * cells["s0"]["weight"]
+    assert min(cells[f"s{i}"]["probability"] for i in range(3)) > 0.99
+    assert mixing.probabilities(docs, short=0.0).where("source = 's0' AND topic = 'short'").first()["probability"] < 0.4
+
+
+def test_plan_of_a_cycle_stays_the_same(spark):
+    cells = stored(spark.createDataFrame([("s0", "l0", "t", 10), ("s1", "l1", "t", 10), ("s0", "l1", "t", 5)], "source string, lang string, topic string, tokens long"), "cells")
+    cells, factors = mixing._start(cells, mixing.default_targets(cells))
+    joins = []
+    for _ in range(3):
+        cycle = mixing._cycle(cells, factors, list(mixing.DIMENSIONS), 1.0)
+        joins.append(cycle._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        factors = stored(cycle, "factors")
+    assert joins[0] == joins[1] == joins[2]
+
+
+def test_names_that_clash(spark):
+    """Tables with the names that operators use inside keep their columns."""
+    from veilframe.llm import exact_dedup, jaccard_join
+
+    names = ["doc_id", "text", "lang", "source", "row", "_row", "place", "host", "_host", "_path", "n", "_n", "s", "_s", "strength", "evidence", "_evidence", "quality",
+             "kept", "_kept", "topic", "_topic", "_source", "_lang", "probability", "_probability", "_t", "_T2", "tokens", "some", "recipe", "best", "part", "odd name"]
+    rows = [(i, f"some words of text {i} that are long enough {i * i} to be a text", "en", "a", *[f"{n}-{i}" for n in names[4:]]) for i in range(20)]
+    docs = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    want = sorted(rows)
+    assert sorted(map(tuple, exact_dedup.deduplicated(docs).collect())) == want
+    assert sorted(map(tuple, jaccard_join.deduplicated(docs, k=5, p=80).collect())) == want
+    for out in (quality.accepted(docs, labels, threshold=0.0), quality.accepted(docs, labels), mixing.mixed(docs)):
+        assert out.columns == names and set(map(tuple, out.collect())) <= set(want)
+    assert quality.accepted(docs, labels, threshold=0.0).count() == 20
+    assert exact_dedup.exact_groups(docs).count() == 20 and mixing.drawn(docs).count() == 20
+
+
+def test_one_row_of_repeated_ids_stays(spark):
+    from veilframe.llm import exact_dedup
+
+    rows = [(1, "same text"), (1, "same text"), (1, "same  text"), (2, "other"), (None, "other"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in exact_dedup.exact_groups(docs).where("kept").select("doc_id", "keep_id", "group_size").collect()]
+    assert sorted(kept, key=str) == sorted([(1, 1, 3), (2, 2, 2), (None, None, 2)], key=str)
+    assert exact_dedup.deduplicated(docs).count() == 3
+
+
+def test_targets_that_cannot_be_met_are_an_error_on_request(spark):
     cells = spark.createDataFrame([("s0", "l0", "t", 10), ("s1", "l1", "t", 10)], "source string, lang string, topic string, tokens long")
     targets = {"source": spark.createDataFrame([("s0", 0.5), ("s1", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("l0", 0.9), ("l1", 0.1)], "lang string, share double")}
     with pytest.raises(ValueError, match="raking is off"):
-        mixing.rake(cells, targets, cycles=5)
+        mixing.rake(cells, targets, cycles=20, strict=True)
 
 
 def test_pipeline_stages(spark):
