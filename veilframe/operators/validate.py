@@ -57,7 +57,7 @@ def _by_signature(text: Column, values: Column) -> Column:
     def kept(found: Column) -> Column:
         def stands(v: Column, i: Column) -> Column:
             both = F.get(found, 2 * i).getField("found") & F.get(found, 2 * i + 1).getField("found")
-            return (v == "") | (both & ((F.length(v) <= GRAM) | F.contains(text, v)))
+            return (text.isNotNull() & (v == "")) | (both & ((F.length(v) <= GRAM) | F.contains(text, v)))
 
         return F.filter(values, stands)
 
