@@ -49,15 +49,16 @@ def _stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def _stored_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Anonymised texts and the mapping, as two tables kept apart.  Values are on disk under a key that only
-    this session has."""
+def _stored_parts(spark: SparkSession, folder: str, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Anonymised texts and the mapping, as two tables kept apart; detection runs once.  Values are on disk under a key
+    that only this session has."""
     key = {"now": os.urandom(32)}
-    texts = _anonymised(spark, folder).select("doc_id", "anonymized_text", "entity_map", F.lit("now").alias("batch"))
+    done = _anonymised(spark, folder) if done is None else done
+    texts = done.select("doc_id", "anonymized_text", "entity_map", F.lit("now").alias("batch"))
     sealed = F.transform("entity_map", lambda e: F.struct(e["token"].alias("token"), F.aes_encrypt(e["value"], F.col("_key")).alias("value")))
-    done = _stored(spark, with_keys(texts, key, "batch").select("doc_id", "anonymized_text", sealed.alias("entity_map"), "batch"), "anonymised")
-    mapping = with_keys(tk.mapping_table(done, "doc_id", "batch"), key, "batch")
-    return done.select("doc_id", "anonymized_text"), mapping.select("doc_id", "token", F.aes_decrypt("value", "_key").cast("string").alias("value"))
+    kept = _stored(spark, with_keys(texts, key, "batch").select("doc_id", "anonymized_text", sealed.alias("entity_map"), "batch"), "anonymised")
+    mapping = with_keys(tk.mapping_table(kept, "doc_id", "batch"), key, "batch")
+    return kept.select("doc_id", "anonymized_text"), mapping.select("doc_id", "token", F.aes_decrypt("value", "_key").cast("string").alias("value"))
 
 
 # ---- detection ---------------------------------------------------------------------------
@@ -454,8 +455,8 @@ def session_restore(spark, folder):
     the day before (expired: no text)."""
     now = F.expr("timestamp '2024-01-25 00:00:00'")
     opened = now - F.make_interval(days=(F.col("doc_id") % 3).cast("int"))
-    done = flows.anonymise_only(forms(spark, folder, GATE_FIELDS))
-    held = sessions.create_sessions(tk.mapping_table(done, "doc_id"), "doc_id", opened, 86_400)
+    done, mapping = _stored_parts(spark, folder, flows.anonymise_only(forms(spark, folder, GATE_FIELDS)))
+    held = sessions.create_sessions(mapping, "doc_id", opened, 86_400)
     asked = done.select("doc_id", F.col("anonymized_text").alias("response"))
     asked = asked.join(held.select("doc_id", "session_id").distinct(), "doc_id")
     back, missed = sessions.restore_with_sessions(asked, held.drop("doc_id"), now, "doc_id")
@@ -646,7 +647,7 @@ def stream_anonymise(spark, folder):
     schema = table(spark, folder, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     out, state = _scratch(spark, "anonymised"), _scratch(spark, "state")
-    rows = streams.anonymise_stream(source.select("doc_id", "text"))
+    rows = streams.anonymise_stream(source.select("doc_id", "text"), tasks=spark.sparkContext.defaultParallelism)
     streams.write_stream(rows.select("doc_id", "anonymized_text"), out, state).awaitTermination()
     return spark.read.parquet(out)
 

@@ -19,8 +19,13 @@ def anonymise_stream(
     text: str = "text",
     threshold: float = fv.DEFAULT_THRESHOLD,
     types: Iterable[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Tokens start anew in every document, so each row stands alone: no state, no shuffle."""
+    """Tokens start anew in every document, so each row stands alone: no state, no shuffle.
+
+    A file is read by one task.  Where micro-batches are a few large files, ``tasks`` deals their rows out first.
+    """
+    documents = documents.repartition(tasks) if tasks else documents
     return check_anonymised(anonymise(detect_any(documents, text, threshold, types), text))
 
 
