@@ -101,6 +101,7 @@ TEMPLATES = {
     ),
 }
 NAMING = {
+    "MIT-notice": "MIT",
     "Apache-2.0-line": "Apache License, Version 2.0",
     "GPL-3.0-line": "GNU General Public License, version 3",
     "GPL-3.0-or-later": "the GNU General Public License as",
@@ -228,11 +229,18 @@ def scan_words(words: np.ndarray, made: dict, band: int, coverage: float) -> lis
         template = made["words"][t][1]
         some = np.array([h[1:] for h in hits if h[0] == t])
         for low, high, _ in _regions(some[:, 0], some[:, 1], len(template), band):
-            start = max(0, low - band)
-            part = words[start : high + len(template) + band]
-            _, matched, first, last = align(part, template, (low + high) // 2 - start, band + (high - low + 1) // 2)
-            if matched >= coverage * len(template) and _holds(part[first : last + 1], made["named"][t]):
-                out.append((t, start + first, start + last, matched, matched / len(template)))
+            # Notices that follow one another share a region: what is left of a match and right of it is searched again.
+            todo = [(max(0, low - band), min(len(words), high + len(template) + band))]
+            while todo:
+                start, stop = todo.pop()
+                part = words[start:stop]
+                if len(part) < coverage * len(template):
+                    continue
+                _, matched, first, last = align(part, template, (low + high) // 2 - start, band + (high - low + 1) // 2)
+                if matched >= coverage * len(template):
+                    todo += [(start, start + first), (start + last + 1, stop)]
+                    if _holds(part[first : last + 1], made["named"][t]):
+                        out.append((t, start + first, start + last, matched, matched / len(template)))
     kept: list = []
     for m in sorted(out, key=lambda m: (-m[3], -m[4], m[1], m[0])):
         if all(m[2] < o[1] or m[1] > o[2] for o in kept):
