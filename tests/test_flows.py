@@ -9,6 +9,7 @@ from conftest import SF_SMALL
 from veilframe.functions.types import HIT
 from veilframe.operators import admission as a
 from veilframe.plans import flows
+from veilframe.plans.queries import QUERIES
 from veilframe.streaming import streams
 
 SAMPLE = ("Il cliente CF RSSMRA80A01H501U ha telefono +39 333 1234567\n"
@@ -196,3 +197,10 @@ def test_deep_json_is_no_failure(spark):
 
     rows = spark.createDataFrame([("[" * 100_000 + "]" * 100_000,), ('{"a": 1}',)], "j string")
     assert [r[0] for r in rows.select(files.flat_json(F.col("j"))).collect()] == [None, "a: 1"]
+
+
+@pytest.mark.parametrize("name,table", [("stream_anonymise", "documents"), ("stream_admission", "events")])
+def test_streams_of_a_folder_of_part_files(spark, tmp_path, name, table):
+    """A table may be one file or a folder of part files; a stream of either has the same rows."""
+    spark.read.parquet(f"{SF_SMALL}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(tuple, QUERIES[name](spark, SF_SMALL).collect()))
