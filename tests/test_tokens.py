@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import plain
 from conftest import SF_SMALL
-from veilframe.functions import text as tx
+from veilframe.functions import substrings, text as tx
 from veilframe.operators import joins, restore as r, tokens as t, validate as v, validate as vd
 from veilframe.operators.detect import detect
 from veilframe.operators.resolve import resolve
@@ -199,6 +199,19 @@ def test_leaks_by_signature(spark, monkeypatch):
         assert found == sorted((i % 2, i, v) for i, text, _ in rows if text is not None for s, v in told if s == i % 2 and v in text)
 
 
+def test_leaks_of_a_table_in_one_pass(spark):
+    """No row holds a scope's values; values of all lengths, some across the borders of slices, and rows that repeat."""
+    long = "".join(chr(97 + i * i % 23) for i in range(700)) + "è€😀fine"
+    values = ["", "x", "€", "bad", "è€😀f", "abcdefg", "abcdefgh", "abcdefghi", long, long[350:650], "nowhere to be found", None]
+    texts = [(1, "u", long), (1, "u", long), (7, "u", "y" * (substrings.SLICE - 100) + long), (None, "u", "zabcdefghz €"), (2, "w", "bad"), (3, "u", None), (4, None, "bad"), (5, "u", ""), (6, "u", "aabcdefg")]
+    mapping = spark.createDataFrame([("u", "t", v) for v in values] + [("w", "t", "bad"), (None, "t", "bad")], "scope string, token string, value string")
+    docs = spark.createDataFrame(texts, "doc_id int, scope string, text string")
+    leaks = vd.leaks_of_table(docs, mapping, "scope", key="doc_id", text="text")
+    want = [("u", i, v) for i, s, t in texts if s == "u" and t is not None for v in values if v is not None and v in t] + [("w", 2, "bad")]
+    assert sorted(map(repr, map(tuple, leaks.collect()))) == sorted(map(repr, want))
+    assert "collect_list" not in leaks._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_leak_check_of_a_large_map_is_linear(spark):
     """20,000 values against a text of a million characters."""
     values = [f"Nome{i * 7919 % 1000003:07d}x" for i in range(20_000)]
