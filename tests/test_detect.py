@@ -11,6 +11,8 @@ from conftest import SF_SMALL
 from veilframe.functions import checks, fixed_values as fv, regex, text as tx
 from veilframe.functions.types import parse_types
 from veilframe.operators import detect as d
+from veilframe.plans import forms
+from veilframe.plans.tables import spread
 
 CASES = [
     ("Risposta a ufficio.ordini+b2b@ditta-nord.example entro sera", "EMAIL"),
@@ -282,3 +284,14 @@ def test_windows_and_runs_at_their_limits(spark):
     texts += ["nome Cliente Mario Rossi Bianchi " * 40, "saldo saldo saldo 12 importo:12 n. conto 123456789012 login account: rossi.1"]
     same_as_plain(spark, texts)
     same_as_plain(spark, texts, threshold=0.9)
+
+
+def test_narrow_rows_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Texts made of narrow rows go to as many tasks as they need, however few files hold the rows."""
+    monkeypatch.setattr(forms, "FORMS_EACH", 5)
+    n = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    for fields in (forms.FIELDS, forms.GATE_FIELDS):
+        made = forms.forms(spark, SF_SMALL, fields)
+        assert made.rdd.getNumPartitions() == -(-n // 5) > spark.sparkContext.defaultParallelism
+        assert made.count() == n
+    assert spread(spark.range(1000), 10).rdd.getNumPartitions() == 100

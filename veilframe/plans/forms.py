@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
-from .tables import spread, table
+from .tables import parts, spread, table
 
 _IBAN_REST = (3305428 * 10**23 + 182900) % 97
 _ODD = "'" + " ".join(f"{n:02d}" for n in fv.FISCAL_ODD_DIGITS) + "'"
@@ -125,6 +125,8 @@ GATE_FIELDS = [f for f in FIELDS if f[2] in ("EMAIL", "PHONE", "PERSON", "PASSPO
 ]
 #: Types that only a lower threshold finds.
 WEAK_FIELDS = [("CAP: ", f"'1' || {_FOUR}", "CAP", 0.65), (" ; profilo ", "'@ann_' || k", "USERNAME", 0.62), (" ; codice ", f"'12' || {_FOUR}", None, 0)]
+#: Texts that a task makes and searches.
+FORMS_EACH = 2_000
 KEYS = "SELECT c_custkey AS k, lpad(CAST(c_custkey AS STRING), 7, '0') AS d FROM customer"
 
 
@@ -133,16 +135,20 @@ def _joined(fields: list) -> str:
 
 
 def forms(spark: SparkSession, folder: str, fields: list = FIELDS) -> DataFrame:
-    """doc_id and text, one row per customer."""
+    """doc_id and text, one row per customer.
+
+    Keys are dealt out before texts are made of them, so that a task gets no more than about FORMS_EACH texts.
+    """
     key = F.col("c_custkey")
     customers = table(spark, folder, "customer").select(key.alias("k"), F.lpad(key.cast("string"), 7, "0").alias("d"))
-    heads = customers.select(F.col("k").alias("doc_id"), F.expr(_joined(fields)).alias("head"))
     if fields is not FIELDS:
-        return spread(heads.withColumnRenamed("head", "text"))
+        return spread(customers, FORMS_EACH).select(F.col("k").alias("doc_id"), F.expr(_joined(fields)).alias("text"))
+    tasks = parts(customers, FORMS_EACH)
+    heads = customers.repartition(tasks, "k").select(F.col("k").alias("doc_id"), F.expr(_joined(fields)).alias("head"))
     lines = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.expr(_joined(ORDER_FIELDS)).alias("line"))
-    told = lines.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("told"))
+    told = lines.repartition(tasks, "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("told"))
     joined = heads.join(told, F.col("doc_id") == F.col("o_custkey"), "left")
-    return spread(joined.select("doc_id", F.concat("head", F.coalesce(F.array_join("told.line", ""), F.lit(""))).alias("text")))
+    return joined.select("doc_id", F.concat("head", F.coalesce(F.array_join("told.line", ""), F.lit(""))).alias("text"))
 
 
 def pieces_sql(luhn, fields: list = FIELDS) -> str:
