@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import sessions as s
+from veilframe.operators import report, sessions as s
 from veilframe.operators.detect import detect
 from veilframe.operators.tokens import anonymise
 from veilframe.sources import files as f, mapping as m, sinks as k
@@ -90,6 +90,21 @@ def test_folder(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "deep" / "json")).count() == len(FILES)
 
 
+def test_folder_by_line(spark, tmp_path):
+    """Lines of text files add up to the files, whatever their encoding; each file is counted once and no row holds a whole one."""
+    more = {"empty.txt": (b"", ""), "mix.txt": ("uno è\r\n10.0.0.1\n".encode("cp1252") + b"due 4\n", "uno è\n10.0.0.1\ndue 4\n")}
+    for name, (content, _) in (FILES | more).items():
+        (tmp_path / name).write_bytes(content)
+    got = f.file_documents(f.read_lines(spark, str(tmp_path)))
+    whole = f.file_documents(f.read_files(spark, str(tmp_path)))
+    assert sorted(r.source for r in got.where("first").collect()) == sorted(r.source for r in whole.collect())
+    for r in whole.collect():
+        lines = [x.text for x in got.where(F.col("source") == r.source).collect()]
+        assert sorted("".join(lines).split("\n")) in (sorted(r.text.split("\n")), sorted((r.text + "\n").split("\n"))), r.source
+    counted = report.batch_report(detect(got, types=["IP", "EMAIL"]), "source", "first").collect()
+    assert {r.documents for r in counted} == {1} and sorted(map(tuple, counted)) == sorted(map(tuple, report.batch_report(detect(whole, types=["IP", "EMAIL"])).collect()))
+
+
 def test_rows_and_json_column(spark, tmp_path):
     (tmp_path / "r.csv").write_text('CAP,Nome\n00100,"Anna ""A"" B"\n,Bob\n')
     rows = f.serialised_rows(f.csv_rows(spark, str(tmp_path / "r.csv")))

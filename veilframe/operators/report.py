@@ -52,15 +52,18 @@ def entity_type_counts(entities: Column) -> Column:
     )
 
 
-def batch_report(documents: DataFrame, by: str = "source") -> DataFrame:
-    """Per file or source: documents, entities and a summary by type.
+def batch_report(documents: DataFrame, by: str = "source", first: str | None = None) -> DataFrame:
+    """Per file or source: documents, entities and a summary by type.  Where a document has several rows, ``first`` marks
+    the one that counts as the document.
 
     Counting starts per (source, type), combined before the shuffle, so a source that holds
     most documents is no more than a few dozen rows when the summary is put together.
     """
+    itself = F.array(F.lit(None).cast("string"))
+    if first:
+        itself = F.when(F.col(first), itself).otherwise(F.array().cast("array<string>"))
     typed = documents.select(
-        by, F.explode(F.concat(F.array(F.lit(None).cast("string")),
-                               F.transform("entities", lambda e: e.getField("type")))).alias("type")
+        by, F.explode(F.concat(itself, F.transform("entities", lambda e: e.getField("type")))).alias("type")
     )
     counted = typed.groupBy(by, "type").agg(F.count("*").alias("n"))
     # The null type stands for the document itself.

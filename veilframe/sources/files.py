@@ -29,14 +29,18 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _PARSED = "struct<text:string,columns:array<string>,rows:bigint,error:string>"
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 without its mark, else Windows-1252, else Latin-1; line ends as \\n."""
+def decoded(content: Column, encoding: Column | None = None) -> Column:
+    """Bytes as text: UTF-8 without its mark, else Windows-1252, else Latin-1; line ends as \\n.  ``encoding`` names that of
+    the file where the bytes are a part of one."""
     as_utf8 = F.regexp_replace(content.cast("string"), "^\ufeff", "")
     as_latin = F.decode(content, "ISO-8859-1")
     as_windows = F.when(as_latin.rlike(LATIN_ONLY), as_latin).otherwise(
         F.translate(as_latin, CP1252_BYTES, CP1252_CHARS)
     )
     text = F.when(F.is_valid_utf8(content.cast("string")), as_utf8).otherwise(as_windows)
+    if encoding is not None:
+        windows = F.translate(as_latin, CP1252_BYTES, CP1252_CHARS)
+        text = F.when(encoding == "UTF-8", content.cast("string")).when(encoding == "ISO-8859-1", as_latin).otherwise(windows)
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
@@ -128,12 +132,38 @@ def _parsed(suffix: str, content: bytes | None) -> dict:
         return empty | {"error": f"{type(problem).__name__}: {problem}"}
 
 
+def _any_case(suffixes: Iterable[str]) -> str:
+    names = ",".join(s[1:] for s in suffixes)
+    return "*.{" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in names) + "}"
+
+
+def _whole(spark: SparkSession, path: str, suffixes: Iterable[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", _any_case(suffixes)).load(path)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The supported files of one folder, not its subfolders, as (filename, content)."""
-    suffixes = ",".join(s[1:] for s in fv.SUPPORTED_SUFFIXES)
-    any_case = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffixes)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{any_case}}}").load(path)
-    return files.select(F.col("path").alias("filename"), "content")
+    return _whole(spark, path, fv.SUPPORTED_SUFFIXES).select(F.col("path").alias("filename"), "content")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same with text files line by line, as (filename, content, encoding, first), so that no row holds a whole one.
+
+    Every file has one row marked as ``first``; for text files that row is empty and the lines follow, in no order, each with
+    its end.  The encoding is that of the file; a line alone may fit another.
+    """
+    spaced = spark.read.option("pathGlobFilter", _any_case([".txt"])).option("lineSep", "\n").text(path)
+    # As binaryFile names its files; the names are the same strings.
+    lines = spaced.select(F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("filename"), F.col("value").cast("binary").alias("content"))
+    bad = lines.where(~F.is_valid_utf8(F.col("content").cast("string"))).select("filename").distinct()
+    latin = F.max(F.decode("content", "ISO-8859-1").rlike(LATIN_ONLY))
+    told = lines.join(bad, "filename", "left_semi").groupBy("filename").agg(F.when(latin, "ISO-8859-1").otherwise("windows-1252").alias("encoding"))
+    rows = lines.join(told, "filename", "left").select(
+        "filename", F.concat("content", F.lit(b"\n")).alias("content"), F.coalesce("encoding", F.lit("UTF-8")).alias("encoding"), F.lit(False).alias("first")
+    )
+    heads = _whole(spark, path, [".txt"]).select(F.col("path").alias("filename"), F.lit(b"").alias("content"))
+    others = _whole(spark, path, [s for s in fv.SUPPORTED_SUFFIXES if s != ".txt"]).select(F.col("path").alias("filename"), "content")
+    return rows.unionByName(heads.unionByName(others).withColumns({"encoding": F.lit("UTF-8"), "first": F.lit(True)}))
 
 
 def suffix_of(filename: Column) -> Column:
@@ -144,8 +174,9 @@ def file_documents(files: DataFrame) -> DataFrame:
     """Files or uploads (filename, content) as documents.
 
     Columns: ``source``, ``text`` (NFC), ``metadata`` and ``error``.  The content is never
-    taken for a path.  A file that cannot be read keeps its row, with the error.
+    taken for a path.  A file that cannot be read keeps its row, with the error.  Rows of ``read_lines`` keep their mark.
     """
+    by_line = {"encoding", "first"} <= set(files.columns)
 
     @F.pandas_udf(_PARSED)
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -157,7 +188,7 @@ def file_documents(files: DataFrame) -> DataFrame:
     named = files.withColumn("suffix", suffix_of(F.col("filename")))
     for_parser = F.when(suffix.isin(*_PARSERS), F.col("content"))
     read = settled(named, parsed=parse(suffix, for_parser))
-    text = F.when(suffix == ".txt", decoded(F.col("content"))).otherwise(F.col("parsed.text"))
+    text = F.when(suffix == ".txt", decoded(F.col("content"), F.col("encoding") if by_line else None)).otherwise(F.col("parsed.text"))
     error = F.when(
         ~suffix.isin(".txt", *_PARSERS), F.format_string(fv.UNSUPPORTED_FORMAT_ERROR, suffix)
     ).otherwise(F.col("parsed.error"))
@@ -173,6 +204,7 @@ def file_documents(files: DataFrame) -> DataFrame:
         tx.nfc(text).alias("text"),
         metadata.alias("metadata"),
         error.alias("error"),
+        *(["first"] if by_line else []),
     )
 
 
