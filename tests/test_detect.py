@@ -295,3 +295,14 @@ def test_narrow_rows_are_dealt_out_by_their_number(spark, monkeypatch):
         assert made.rdd.getNumPartitions() == -(-n // 5) > spark.sparkContext.defaultParallelism
         assert made.count() == n
     assert spread(spark.range(1000), 10).rdd.getNumPartitions() == 100
+
+
+def test_scans_keep_finds_and_not_copies_of_the_text(spark):
+    """A pattern with a few finds leaves these alone behind, one with many a marked copy; both give the same spans."""
+    texts = [f"é {d.MARK} " + "a@b.it, " * n + "😀 x@y.zz" for n in (0, 1, d.FEW - 1, d.FEW, 3 * d.FEW)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, row in zip(texts, rows.select(d._hits("text", d.rules(0.7, ["EMAIL"])).alias("h")).collect()):
+        (hit,), n = row.h.hits, text.count("@")
+        assert (hit.marked is None, len(hit.finds)) == ((True, n) if n <= d.FEW else (False, 0))
+    same_as_plain(spark, texts)
+    same_as_plain(spark, ["x" * 64 + "@a.it", "x" * 65 + "@a.it", "a.b-@c.it é@c.it K@c.it", "+0039 333 1234567 ++39 333 1234567", "a1111-2222-3333-4444"])
