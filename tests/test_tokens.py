@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import plain
 from conftest import SF_SMALL
-from veilframe.functions import substrings, text as tx
+from veilframe.functions import lookup, substrings, text as tx
 from veilframe.operators import joins, restore as r, tokens as t, validate as v, validate as vd
 from veilframe.operators.detect import detect
 from veilframe.operators.resolve import resolve
@@ -221,3 +221,19 @@ def test_leak_check_of_a_large_map_is_linear(spark):
     leaks = docs.select(vd.leaked_values(F.col("text"), F.col("entries")).alias("leaks")).first().leaks
     assert len(text) > 900_000 and leaks == values[::4000]
     assert time.perf_counter() - start < 30
+
+
+def test_short_and_long_ways_agree(spark):
+    """Few entities, tokens and spans are searched through, many are folded or merged."""
+    cases = list(entity_lists(random.Random(9)))
+    rows = spark.createDataFrame([(e,) for _, e in cases], f"e array<{SPAN}>")
+    for row in rows.select(t._numbered_by_search(F.col("e")).alias("a"), t._numbered_by_groups(F.col("e")).alias("b")).collect():
+        assert row.a == row.b
+    asked, known = ["[A_001]", "[a_001]", "[B_002]", "[Ç_003]"], [("[A_001]", "1"), (None, "2"), ("[a_001]", None), ("[ç_003]", "3")]
+    pairs = spark.createDataFrame([(asked, known), ([], known), (asked, [])], f"t array<string>, m array<{ENTRY}>")
+    for case in (True, False):
+        both = [look(F.col("t"), F.col("m"), case).alias(look.__name__) for look in (lookup._walked, lookup._merged)]
+        for row in pairs.select(*both).collect():
+            assert row._walked == row._merged
+    lists = [random_spans(random.Random(n), n, 3 * n) for n in (127, 128, 129, 300)]
+    assert resolved(spark, lists) == [plain.resolve(x) for x in lists]
