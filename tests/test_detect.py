@@ -306,3 +306,30 @@ def test_scans_keep_finds_and_not_copies_of_the_text(spark):
         assert (hit.marked is None, len(hit.finds)) == ((True, n) if n <= d.FEW else (False, 0))
     same_as_plain(spark, texts)
     same_as_plain(spark, ["x" * 64 + "@a.it", "x" * 65 + "@a.it", "a.b-@c.it é@c.it K@c.it", "+0039 333 1234567 ++39 333 1234567", "a1111-2222-3333-4444"])
+
+
+def test_few_patterns_are_tried_at_a_label(spark):
+    """Up to five letters of a label lead to its patterns, a window is cut once for all of them, and each generated
+    match begins with letters that lead to its pattern."""
+    labelled = [(i, p) for i, (_, _, p) in enumerate(fv.PATTERNS) if d._has_label(p)]
+
+    def leads(low, pattern):
+        return any(low[:width] in heads for width, heads in regex.beginnings(pattern).items())
+
+    starts = re.compile(regex.label_starts(tuple(p for _, p in labelled)).replace("(?-iu:", "(?:"))
+    for i, pattern in labelled:
+        @settings(max_examples=40, database=None, deadline=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(plain.COMPILED[i][2], fullmatch=True))
+        def run(value):
+            low = value.translate(str.maketrans(d.ODD_LETTERS, d.THEIR_TWINS)).lower()
+            found = starts.match(low)
+            assert found and found[1] + found[2] == low[:regex.LETTERS] and leads(low, pattern), value
+
+        run()
+    for label, most in {"personalausweis": 3, "passaporto": 2, "kontonummer": 1, "cartella clinica": 3, "betrag": 1}.items():
+        assert 1 <= sum(leads(label, p) for _, p in labelled) <= most, label
+    rows = spark.createDataFrame([("Passaporto: YA1234567",)], "text string")
+    plan = d.with_rule_spans(rows)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(f"% {d.BLOCK}) + 1), {d.WINDOW})") == 1
+    texts = ["nome: Anna Neri, nome: Anna Bianchi utente Anna Verdi; utente: anna.b", "SSN: 123-45-6789 nir: 1 85 05 78 123 123 nuss: 28 1234567 n. conto 123456789012"]
+    same_as_plain(spark, texts + ["passaport", "ss", "n", "saldo 1 saldo 2 targa: AB 123 CD tarGA: EF 456 GH saldo", "Ç importo 5 😀 pass YA1234567"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import plain
 from conftest import SF_SMALL
 from veilframe.functions import lookup, substrings, text as tx
+from veilframe.functions.arrays import pieces
 from veilframe.operators import joins, restore as r, tokens as t, validate as v, validate as vd
 from veilframe.operators.detect import detect
 from veilframe.operators.resolve import resolve
@@ -237,3 +238,25 @@ def test_short_and_long_ways_agree(spark):
             assert row._walked == row._merged
     lists = [random_spans(random.Random(n), n, 3 * n) for n in (127, 128, 129, 300)]
     assert resolved(spark, lists) == [plain.resolve(x) for x in lists]
+
+
+def test_pieces_of_short_and_long_lists(spark):
+    """However many cuts, the pieces are those between them."""
+    rng = random.Random(4)
+    for n in (0, 1, 2, 3, 15, 16, 17, 64, 65, 700):
+        text = "".join(rng.choice("aé😀 ") for _ in range(3 * n + 1))
+        cuts = [0, *sorted(rng.randrange(len(text) + 1) for _ in range(n)), len(text)]
+        rows = spark.createDataFrame([(text, cuts)], "t string, c array<int>")
+        got = rows.select(pieces(F.col("t"), F.col("c")).alias("p")).first().p
+        assert got == [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def test_numbering_searches_no_lists(spark):
+    """A search that ends early leaves its loop by an exception, which costs more than the search: few entities are
+    numbered without."""
+    rows = spark.createDataFrame([([span(0, 1, "a", "A"), span(2, 3, " A", "B"), span(4, 5, "b", "A"), span(6, 7, "", "B")],)], f"e array<{SPAN}>")
+    numbered = rows.select(t._numbered_by_search(F.col("e")).alias("n"))
+    assert "array_position" not in numbered._jdf.queryExecution().analyzed().toString()
+    got = numbered.first().n
+    assert got.tokens == ["[B_002]", "[B_002]", "[A_001]", "[B_001]"]
+    assert [tuple(e) for e in got.entries] == [("[B_001]", ""), ("[A_001]", "b"), ("[B_002]", "a")]
